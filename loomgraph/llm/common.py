@@ -62,8 +62,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["q"]
 
 
-def _segment(data: np.ndarray, hashes: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (or nothing) and first byte of the words of one byte buffer."""
+def _segment(data: np.ndarray, hashes: bool = True, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list]:
+    """Hashes (or nothing) and first byte of the words of one byte buffer; for each prefix length
+    the hashes of the first bytes of longer words and these words' numbers."""
     word = _WORD_BYTE[data]
     if (data >= 0xC2).any():
         for lead, second in ((0xC2, None), (0xE2, (0x80, 0x81)), (0xE3, (0x80, 0x80))):
@@ -79,7 +80,7 @@ def _segment(data: np.ndarray, hashes: bool = True) -> tuple[np.ndarray, np.ndar
     edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start = np.flatnonzero(edge == 1)
     if not hashes:
-        return start[:0].astype(_U64), start
+        return start[:0].astype(_U64), start, []
     end = np.flatnonzero(edge == -1)
     p, q = _powers(len(data))
     with np.errstate(over="ignore"):
@@ -87,7 +88,12 @@ def _segment(data: np.ndarray, hashes: bool = True) -> tuple[np.ndarray, np.ndar
         total[0] = 0
         np.cumsum(_BYTE[data] * p[: len(data)], out=total[1:])
         h = (total[end] - total[start]) * q[start] + (end - start).astype(_U64)
-        return _mix(h), start
+        extra = []
+        for k in prefixes:
+            longer = np.flatnonzero(end - start > k)
+            b = start[longer]
+            extra.append((_mix((total[b + k] - total[b]) * q[b] + _U64(k << 32)), longer))
+        return _mix(h), start, extra
 
 
 def word_bounds(texts: pa.Array) -> np.ndarray:
@@ -98,43 +104,52 @@ def word_bounds(texts: pa.Array) -> np.ndarray:
 def word_hashes(texts: pa.Array, hashes: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a string array and where each row's begin (one more entry than
     rows).  A null text has no words."""
+    return word_features(texts, (), hashes)[:2]
+
+
+def word_features(texts: pa.Array, prefixes: tuple[int, ...], hashes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and the hashes of the words' prefixes of so many bytes with the word of each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     n = len(texts)
     if n == 0:
-        return np.empty(0, dtype=_U64), np.zeros(1, dtype=np.int64)
+        return np.empty(0, dtype=_U64), np.zeros(1, dtype=np.int64), np.empty(0, dtype=_U64), np.empty(0, dtype=np.int64)
     bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.empty(0, dtype=np.uint8)
-    out, offsets = [], np.zeros(n + 1, dtype=np.int64)
+    out, more, of, offsets = [], [], [], np.zeros(n + 1, dtype=np.int64)
     i = done = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _CHUNK, "right")) - 1)
         part = data[bounds[i] : bounds[j]]
         if len(part):
             # a word never spans two rows: the last byte of a row ends it
-            h, start = _segment_rows(part, bounds[i : j + 1] - bounds[i], hashes)
+            h, start, extra = _segment_rows(part, bounds[i : j + 1] - bounds[i], hashes, prefixes)
+            for x, word in extra:
+                more.append(x)
+                of.append(word + done)
             offsets[i + 1 : j + 1] = done + np.searchsorted(start, bounds[i + 1 : j + 1] - bounds[i], "left")
             done += len(start)
             out.append(h)
         else:
             offsets[i + 1 : j + 1] = done
         i = j
-    return (np.concatenate(out) if out else np.empty(0, dtype=_U64)), offsets
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+    return join(out, _U64), offsets, join(more, _U64), join(of, np.int64)
 
 
-def _segment_rows(part: np.ndarray, bounds: np.ndarray, hashes: bool) -> tuple[np.ndarray, np.ndarray]:
+def _segment_rows(part: np.ndarray, bounds: np.ndarray, hashes: bool, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list]:
     """As _segment, with row bounds: a separator byte is put between touching rows."""
     inner = bounds[1:-1]
     inner = inner[(inner > 0) & (inner < len(part))]
     if not len(inner):
-        return _segment(part, hashes)
+        return _segment(part, hashes, prefixes)
     touching = np.unique(inner[_WORD_BYTE[part[inner - 1]] & _WORD_BYTE[part[inner]]])
     if not len(touching):
-        return _segment(part, hashes)
-    h, start = _segment(np.insert(part, touching, 32), hashes)
-    return h, start - np.searchsorted(np.arange(len(touching)) + touching, start, "left")
+        return _segment(part, hashes, prefixes)
+    h, start, extra = _segment(np.insert(part, touching, 32), hashes, prefixes)
+    return h, start - np.searchsorted(np.arange(len(touching)) + touching, start, "left"), extra
 
 
 def hash_of(word: str) -> int:

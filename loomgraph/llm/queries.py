@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding
+from . import decontaminate, exact_dedup, packing, quality, sharding
 
-QUERIES = {
-    "op2_best_fit_packing": packing.op2_best_fit_packing,
-    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
-    "op7_sharding": sharding.op7_sharding,
+_ALL = {
+    "op1_quality_classifier": (quality.op1_quality_classifier, quality.ORACLE_SQL),
+    "op2_best_fit_packing": (packing.op2_best_fit_packing, packing.ORACLE_SQL),
+    "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE_SQL),
+    "op7_sharding": (sharding.op7_sharding, sharding.ORACLE_SQL),
+    "op8_benchmark_decontamination": (decontaminate.op8_benchmark_decontamination, decontaminate.ORACLE_SQL),
 }
-ORACLES: dict[str, str] = {name: sql for name, sql in {
-    "op2_best_fit_packing": packing.ORACLE_SQL,
-    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
-    "op7_sharding": sharding.ORACLE_SQL,
-}.items() if sql}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
