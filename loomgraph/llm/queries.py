@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, quality, sharding
+from . import decontaminate, exact_dedup, near_dedup, packing, quality, sharding
 
 _ALL = {
     "op1_quality_classifier": (quality.op1_quality_classifier, quality.ORACLE_SQL),
@@ -10,6 +10,7 @@ _ALL = {
     "op4_exact_dedup": (exact_dedup.op4_exact_dedup, exact_dedup.ORACLE_SQL),
     "op7_sharding": (sharding.op7_sharding, sharding.ORACLE_SQL),
     "op8_benchmark_decontamination": (decontaminate.op8_benchmark_decontamination, decontaminate.ORACLE_SQL),
+    "op9_minhash_near_dedup": (near_dedup.op9_minhash_near_dedup, near_dedup.ORACLE_SQL),
 }
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
