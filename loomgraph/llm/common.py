@@ -168,6 +168,16 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return g
 
 
+def window_hashes(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hash of h[s : s + n] for each start; as grams, but with a cost that doesn't depend on n."""
+    p, q = _powers(len(h))
+    with np.errstate(over="ignore"):
+        total = np.empty(len(h) + 1, dtype=_U64)
+        total[0] = 0
+        np.cumsum(_mix(h) * p[: len(h)], out=total[1:])
+        return _mix((total[starts + n] - total[starts]) * q[starts])
+
+
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """Row number of each word."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
