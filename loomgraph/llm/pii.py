@@ -72,7 +72,7 @@ _PATTERNS = (
     ("credit_card", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ssn", re.compile(r"(?<![\w.-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[.-]\d)|(?<!\w)\+\d{8,15}(?!\w)")),
+    ("phone", re.compile(r"(?<![\w.])(?<!\d[ -])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w|[ .-]\d)|(?<!\w)\+\d{8,15}(?!\w)")),
     ("ipv4", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)")),
     (
         "secret",
