@@ -37,23 +37,15 @@ from .common import WORD_PATTERN, checkpoint, documents, partitions, row_grams,
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 _U64 = np.uint64
 _SHIFT = _U64(8)  # 56 bits of a hash are used
 
 
-def _chunk_grams(table: pa.Table, order: int):
-    """The chunk's rows in a fixed order, and for each n the distinct n-grams (sorted), their counts,
-    the n-gram of each place, and the places (index of the last word)."""
-    by = np.argsort(table.column("node").to_numpy(), kind="stable")
-    table = table.take(pa.array(by))
-    h, o = word_hashes(table.column("text"))
-    levels = []
-    for n in range(1, order + 1):
-        g, _, at = row_grams(h, o, n)
-        keys, which, count = np.unique(g >> _SHIFT, return_inverse=True, return_counts=True)
-        levels.append((keys, count, which.astype(np.int32), at + n - 1))
-    return table, o, levels
+def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The chunk's rows in a fixed order, their words and offsets."""
+    table = table.take(pa.array(np.argsort(table.column("node").to_numpy(), kind="stable")))
+    return table, *word_hashes(table.column("text"))
 
 
 def _encode(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -80,9 +72,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
 
     def blocks(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        _, _, levels = _chunk_grams(table, order)
+        _, h, o = _ordered(table)
         out: dict[str, list] = {c: [] for c in ("range", "level", "chunk", "low", "high", "counts")}
-        for level, (keys, count, _, _) in enumerate(levels):
+        for level in range(order):
+            keys, count = np.unique(row_grams(h, o, level + 1)[0] >> _SHIFT, return_counts=True)
             cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=_U64) * _U64(span))
             for r in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[r], cut[r + 1])
@@ -102,15 +95,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         })
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept, o, levels = _chunk_grams(left, order)
+        kept, h, o = _ordered(left)
         words = int(o[-1])
         found = {(level, r): t for level, r, t in zip(right.column("level").to_pylist(), right.column("range").to_pylist(), right.column("totals"))}
         count = []  # for each order the corpus count of the n-gram that ends at each word
-        for level, (keys, _, which, at) in enumerate(levels):
+        for level in range(order):
+            g, _, at = row_grams(h, o, level + 1)
+            which = np.unique(g >> _SHIFT, return_inverse=True)[1]
             own = [np.frombuffer(zlib.decompress(found[level, r].as_py()), dtype="<i8") for r in range(ranges) if (level, r) in found]
             whole = np.concatenate(own) if own else np.empty(0, dtype=np.int64)
             c = np.zeros(words, dtype=np.int64)
-            c[at] = whole[which]
+            c[at + level] = whole[which]
             count.append(c)
         value, decided, steps = np.zeros(words), np.zeros(words, dtype=bool), np.zeros(words)
         for level in range(order - 1, 0, -1):
