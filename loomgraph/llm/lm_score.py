@@ -13,8 +13,8 @@ corpus, so both sides move as sorted blocks:
    by a 56-bit hash; a block is the part of one hash range, written as 4 low bytes and the
    differences of the high ones, with the counts.
 2. A hash range's blocks from all chunks meet in one task, which adds the counts (the n-gram table of that
-   partition) and returns to each chunk, in the order of its block, the totals.
-3. A chunk joins the totals to its n-grams by place and sums the scores of its documents.
+   partition) and returns to each chunk, in the order of its block, the counts of the other chunks.
+3. A chunk joins them to its n-grams by place and sums the scores of its documents.
 
 The chunks' shuffle is used by both ends.  What moves follows the distinct n-grams of the chunks, about
 5 bytes each.
@@ -48,14 +48,23 @@ def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return table, *word_hashes(table.column("text"))
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Small numbers, byte by byte: all low bytes, then all next ones, compressed."""
+    return zlib.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _encode(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    high = (keys >> _U64(32)).astype(np.uint32)
-    return keys.astype("<u4").tobytes(), zlib.compress(np.diff(high, prepend=np.uint32(0)).astype("<u4").tobytes(), 1), zlib.compress(counts.astype("<u4").tobytes(), 1)
+    high = (keys >> _U64(32)).astype(np.int64)
+    return keys.astype("<u4").tobytes(), _pack(np.diff(high, prepend=0)), _pack(counts - 1)
 
 
 def _decode(low: bytes, high: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    top = np.cumsum(np.frombuffer(zlib.decompress(high), dtype="<u4"), dtype=np.uint64)
-    return (top << _U64(32)) | np.frombuffer(low, dtype="<u4"), np.frombuffer(zlib.decompress(counts), dtype="<u4")
+    top = np.cumsum(_unpack(high)).astype(_U64)
+    return (top << _U64(32)) | np.frombuffer(low, dtype="<u4"), _unpack(counts) + 1
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -88,22 +97,23 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         parts = [_decode(a.as_py(), b.as_py(), c.as_py()) for a, b, c in zip(table.column("low"), table.column("high"), table.column("counts"))]
         keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         total = np.bincount(which, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
-        mine = np.split(total[which], np.cumsum([len(k) for k, _ in parts])[:-1])
+        others = total[which] - np.concatenate([c for _, c in parts])  # mostly 0
+        mine = np.split(others, np.cumsum([len(k) for k, _ in parts])[:-1])
         return pa.table({
             "chunk": table.column("chunk"), "level": table.column("level"), "range": table.column("range"),
-            "totals": pa.array([zlib.compress(t.astype("<i8").tobytes(), 1) for t in mine], pa.binary()),
+            "others": pa.array([_pack(t) for t in mine], pa.binary()),
         })
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         kept, h, o = _ordered(left)
         words = int(o[-1])
-        found = {(level, r): t for level, r, t in zip(right.column("level").to_pylist(), right.column("range").to_pylist(), right.column("totals"))}
+        found = {(level, r): t for level, r, t in zip(right.column("level").to_pylist(), right.column("range").to_pylist(), right.column("others"))}
         count = []  # for each order the corpus count of the n-gram that ends at each word
         for level in range(order):
             g, _, at = row_grams(h, o, level + 1)
-            which = np.unique(g >> _SHIFT, return_inverse=True)[1]
-            own = [np.frombuffer(zlib.decompress(found[level, r].as_py()), dtype="<i8") for r in range(ranges) if (level, r) in found]
-            whole = np.concatenate(own) if own else np.empty(0, dtype=np.int64)
+            _, which, own = np.unique(g >> _SHIFT, return_inverse=True, return_counts=True)
+            others = [_unpack(found[level, r].as_py()) for r in range(ranges) if (level, r) in found]
+            whole = own + (np.concatenate(others) if others else 0)
             c = np.zeros(words, dtype=np.int64)
             c[at + level] = whole[which]
             count.append(c)
@@ -125,7 +135,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
         })
 
     table = placed.groupBy("chunk").applyInArrow(blocks, "range int, level int, chunk int, low binary, high binary, counts binary")
-    back = table.groupBy("range", "level").applyInArrow(totals, "chunk int, level int, range int, totals binary").repartition(n, "chunk")
+    back = table.groupBy("range", "level").applyInArrow(totals, "chunk int, level int, range int, others binary").repartition(n, "chunk")
     found = placed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, f"doc_id {id_type}, n_words long, part double, bare long")
     found = checkpoint(found)
     corpus = found.agg(F.sum("n_words")).head()[0] or 1
