@@ -19,6 +19,9 @@ from ..sources.extract import symbol_rows
 from ..sources.files import Config, source_files
 
 
+ID_BUCKETS = 4096
+
+
 @dataclass
 class Graph:
     """Stored tables of one tree."""
@@ -81,10 +84,14 @@ def refresh(graph_: Graph, files: DataFrame) -> Graph:
 def build_rows(stored: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Numbered symbols, edges, data models and imports from rows without ids."""
     stored, imports = checkpoint(stored), checkpoint(imports)
-    # ids follow the place of a symbol, not the order of a run; counted within files, then added up
+    # ids follow the place of a symbol, not the order of a run: counted within files, then files within
+    # hash buckets, then buckets, so that no window holds more than a bucket's files
     ordinal = F.row_number().over(Window.partitionBy("file_path").orderBy("line_start", "qualified_name", "line_end", "kind", "signature"))
-    sizes = stored.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("file_path", (F.sum("n").over(Window.orderBy("file_path")) - F.col("n")).alias("before"))
+    sizes = stored.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.pmod(F.xxhash64("file_path"), F.lit(ID_BUCKETS)))
+    within = F.sum("n").over(Window.partitionBy("bucket").orderBy("file_path")) - F.col("n")
+    totals = sizes.groupBy("bucket").agg(F.sum("n").alias("t"))
+    ahead = F.broadcast(totals.select(F.col("bucket").alias("b"), (F.sum("t").over(Window.orderBy("bucket")) - F.col("t")).alias("ahead")))
+    before = sizes.withColumn("within", within).join(ahead, F.col("bucket") == F.col("b")).select("file_path", (F.col("within") + F.col("ahead")).alias("before"))
     symbols = checkpoint(stored.withColumn("at", ordinal).join(before, "file_path").select((F.col("before") + F.col("at")).alias("id"), *stored.columns))
     models = symbols.select(F.col("id").alias("symbol_id"), C.framework(F.col("language"), F.col("kind"), F.col("bases"), F.col("decorators")).alias("framework"), F.col("fields")).where("framework is not null")
     return symbols, checkpoint(_edges(symbols, models, imports)), models, imports
