@@ -192,7 +192,7 @@ def row_grams(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
     return g[ok], row[: len(g)][ok], np.flatnonzero(ok)
 
 
-def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices batches so that none has much more than max_bytes unless one row has."""
     for b in it:
         if b.num_rows == 0:

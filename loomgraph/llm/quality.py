@@ -41,6 +41,8 @@ RIDGE = 0.1
 BROADCAST_PATHS = 50_000
 TARGETS = ("quality", "toxic")
 STATS = 7
+#: A slice's words and beginnings of words take many times its bytes.
+SLICE_BYTES = 2 << 20
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[65:91] = 1  # upper case
@@ -85,7 +87,7 @@ def _marks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def _counted(it):
     """For each feature in how many sampled documents of each class it is."""
     for b in it:
-        for s in batches([b]):
+        for s in batches([b], SLICE_BYTES):
             _, _, f, row = _marks(s.column(2))
             order = np.lexsort((row, f))
             f, row = f[order], row[order]
@@ -104,7 +106,7 @@ def _measured(features: np.ndarray):
 
     def run(it):
         for b in it:
-            for s in batches([b]):
+            for s in batches([b], SLICE_BYTES):
                 h, o, f, row = _marks(s.column(2))
                 at = np.minimum(np.searchsorted(features, f), max(0, len(features) - 1))
                 hit = features[at] == f if len(features) else np.zeros(len(f), dtype=bool)
@@ -179,7 +181,7 @@ def evidence(model: dict):
     @F.arrow_udf("struct<quality:double,toxic:double>")
     def score(texts: pa.Array) -> pa.Array:
         parts = []
-        for s in batches([pa.RecordBatch.from_arrays([texts], names=["t"])]):
+        for s in batches([pa.RecordBatch.from_arrays([texts], names=["t"])], SLICE_BYTES):
             h, o, f, row = _marks(s.column(0))
             stats = statistics(s.column(0), h, o)
             out = []
