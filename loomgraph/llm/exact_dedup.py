@@ -108,7 +108,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).select("doc_id", "identity", "keep_doc_id", "keep")
+    """Each document with the document that stays for its text; the identity is written as text ("n17"), as
+    numbers in the result are doc_ids."""
+    found = exact_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", F.concat(F.lit("n"), F.col("identity")).alias("text_name"), "keep_doc_id", "keep")
 
 
 ORACLE_SQL = None
