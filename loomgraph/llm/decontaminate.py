@@ -1,12 +1,15 @@
 """Benchmark decontamination under edit distance.
 
-A document is contaminated by an item of m words if some window of m words of it (padded at its
-ends) is within `max_ratio` * m word edits of the item.
+A document is contaminated by an item of m words if some span of it, of any length, is within t =
+`max_ratio` * m word edits of the item (`free_spans`, as the query and the pipeline have it).  Without
+`free_spans` only windows of exactly m words (padded at the document's ends) are compared, for
+which each inserted word costs a second edit at the window's end.
 
 The search is an index over the benchmark that each task holds, so the corpus is read once and
 nothing of it is shuffled:
 
-* Windows.  All windows of all documents count; those that can't match are left out without loss:
+* Windows.  All windows of all documents count, with free spans those of m - t, m and m + t words, so
+  that a span differs from one of them by at most t / 2 words at its end; those that can't match are left out without loss:
   t edits leave at least m - q + 1 - q t of the item's q-grams, so a document that has fewer of
   them anywhere has no matching window, and a matching window starts within t words of where
   a shared q-gram puts the item's start.  q follows from m and t so that the number is positive.
@@ -16,14 +19,15 @@ nothing of it is shuffled:
 * Bit-sampling LSH: `bits` random coordinates of an embedding make a bucket; `repetitions` of
   them reach the target recall (over 0.99 for pairs at the distance limit, measured in the
   tests).
-* Exact verification of all pairs that share a bucket by the edit distance of words.
+* Exact verification of all pairs that share a bucket by the edit distance of words: of the window,
+  or of the best span of the words from 2 t before the window to 2 t after it (semi-global).
 
 An item collection whose q-grams exceed `index_grams` is taken in parts of that size, one
 pass over the documents each, so a task's memory is bounded.
 
 Defined results: null and empty texts and items without words match nothing; repeated items match
 each by themselves; repeated documents are reported alike.  Ties between windows of a document go to
-the smallest distance and then the first window.  All columns are kept by the filter.
+the smallest distance and then the first window or span.  All columns are kept by the filter.
 """
 
 from __future__ import annotations
@@ -78,9 +82,10 @@ class Index:
         own = self.buckets(self.words, self.m)  # repetitions x items
         self.tables = [(np.sort(b), np.argsort(b, kind="stable")) for b in own]
 
-    def buckets(self, words: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """The bucket of each window in each repetition: a hash of its length class and of `bits`
-        coordinates of its CGK embedding."""
+    def buckets(self, words: np.ndarray, m: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """The bucket of each window in each repetition: a hash of its length class m and of `bits`
+        coordinates of its CGK embedding.  A window has m words, or size."""
+        size = m if size is None else size
         n, width = words.shape
         rep = np.arange(self.repetitions, dtype=_U64)[:, None]
         salt = mix(rep + _U64(self.seed * 1000))
@@ -93,7 +98,7 @@ class Index:
         wanted = np.floor(draws[:, :, None] * (m * STRETCH)[None, None, :]).astype(np.int64)  # reps x bits x n
         with np.errstate(over="ignore"):
             for j in range(stop):
-                w = np.where(at < m[None, :], words[row, np.minimum(at, width - 1)], _U64(0))
+                w = np.where(at < size[None, :], words[row, np.minimum(at, width - 1)], _U64(0))
                 hit = wanted == j
                 if hit.any():
                     for b in np.flatnonzero(hit.any(axis=(0, 2))):
@@ -101,9 +106,9 @@ class Index:
                 at += (mix(w ^ (salt + _U64(j * 2 + 1))) & _U64(1)).astype(np.int64)
         return mix(out + salt)
 
-    def candidates(self, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(row, length, start) of the windows that may match; start is in words of the batch and may
-        lie before the row's first word."""
+    def candidates(self, h: np.ndarray, offsets: np.ndarray, free_spans: bool = False) -> np.ndarray:
+        """(row, length of the items, start, length) of the windows that may match; start is in words of
+        the batch and may lie before the row's first word."""
         found = []
         for q, (keys, first, item, pos) in self.by_q.items():
             g, row, at = row_grams(h, offsets, q)
@@ -122,29 +127,29 @@ class Index:
             ok = (number >= self.need[known % len(self.ids)])[back]
             found.append(np.column_stack([r[ok], i[ok], (a - pos[entry])[ok]]))
         if not found:
-            return np.empty((0, 3), dtype=np.int64)
+            return np.empty((0, 4), dtype=np.int64)
         base = np.unique(np.concatenate(found), axis=0)
-        if not len(base):
-            return base
         t = self.t[base[:, 1]]
         wide = np.repeat(base, 2 * t + 1, axis=0)
-        wide[:, 2] += np.concatenate([np.arange(-x, x + 1) for x in t])
+        wide[:, 2] += np.arange(len(wide)) - np.repeat(np.cumsum(2 * t + 1) - t - 1, 2 * t + 1)
         # a window is looked up by its length only: the bucket decides which items it meets
-        return np.unique(np.column_stack([wide[:, 0], self.m[wide[:, 1]], wide[:, 2]]), axis=0)
-
-    def search(self, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(row, item index, start in the row, distance) of verified pairs, the best window of each."""
-        windows = self.candidates(h, offsets)
-        results = []
-        width = self.words.shape[1]
+        m, t = self.m[wide[:, 1]], self.t[wide[:, 1]]
+        sizes = (m - t, m, m + t) if free_spans else (m,)
+        return np.unique(np.concatenate([np.column_stack([wide[:, 0], m, wide[:, 2], n]) for n in sizes]), axis=0)
+
+    def search(self, h: np.ndarray, offsets: np.ndarray, free_spans: bool = False) -> np.ndarray:
+        """(row, item index, start in the row, distance) of verified pairs, the best window or span of each."""
+        windows = self.candidates(h, offsets, free_spans)
+        results, spans = [], []
+        width = int((self.m + self.t).max()) if free_spans else self.words.shape[1]
         for lo in range(0, len(windows), FLUSH):
-            row, m, start = windows[lo : lo + FLUSH].T
+            row, m, start, size = windows[lo : lo + FLUSH].T
             col = np.arange(width)[None, :]
             at = start[:, None] + col
-            inside = (col < m[:, None]) & (at >= offsets[row][:, None]) & (at < offsets[row + 1][:, None])
+            inside = (col < size[:, None]) & (at >= offsets[row][:, None]) & (at < offsets[row + 1][:, None])
             words = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _U64(0))
             pairs = []
-            for (keys, order), b in zip(self.tables, self.buckets(words, m)):
+            for (keys, order), b in zip(self.tables, self.buckets(words, m, size)):
                 left, right = np.searchsorted(keys, b, "left"), np.searchsorted(keys, b, "right")
                 n = right - left
                 each = np.repeat(np.arange(len(b)), n)
@@ -152,11 +157,17 @@ class Index:
                 pairs.append(each * len(self.ids) + order[entry])
             pairs = np.unique(np.concatenate(pairs))
             w, i = pairs // len(self.ids), pairs % len(self.ids)
+            if free_spans:
+                # windows that start within t words of each other are verified together
+                spans.append(np.unique(np.column_stack([row[w], i, start[w] // (self.t[i] + 1)]), axis=0))
+                continue
             for a in range(0, len(w), FLUSH):
                 ww, ii = w[a : a + FLUSH], i[a : a + FLUSH]
                 d = edit_distance(words[ww], self.words[ii], self.m[ii])
                 ok = d <= self.t[ii]
                 results.append(np.column_stack([row[ww], ii, start[ww] - offsets[row[ww]], d])[ok])
+        if spans:
+            results = self.verify_spans(h, offsets, np.unique(np.concatenate(spans), axis=0))
         if not results:
             return np.empty((0, 4), dtype=np.int64)
         r = np.concatenate(results)
@@ -166,6 +177,43 @@ class Index:
         return r[first]
 
 
+    def verify_spans(self, h: np.ndarray, offsets: np.ndarray, spans: np.ndarray) -> list[np.ndarray]:
+        """As search, of (row, item index, start // (t + 1)) groups of windows."""
+        results = []
+        spans = spans[np.argsort(self.m[spans[:, 1]], kind="stable")]  # pairs of about one length together
+        for lo in range(0, len(spans), FLUSH // 8):
+            row, i, group = spans[lo : lo + FLUSH // 8].T
+            m, t = self.m[i], self.t[i]
+            first = np.maximum(group * (t + 1) - 2 * t, offsets[row])
+            stop = np.minimum(group * (t + 1) + m + 3 * t, offsets[row + 1])
+            at = first[:, None] + np.arange(int((stop - first).max()))[None, :]
+            words = np.where(at < stop[:, None], h[np.minimum(at, len(h) - 1)], _U64(0))
+            d, start = span_distance(words, self.words[i], m)
+            ok = d <= t
+            results.append(np.column_stack([row, i, np.minimum(first + start, stop) - offsets[row], d])[ok])
+        return results
+
+
+def span_distance(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word edit distance of b[:m] and the span of a that is nearest to it, and where the span begins;
+    the first of the nearest.  A 0 in a is a missing word that equals nothing."""
+    n, width = a.shape
+    edit = 1 << 32  # numbers are distance * edit + begin, so the smallest one has both
+    ramp = np.arange(width + 1, dtype=np.int64)
+    row = np.broadcast_to(ramp, (n, width + 1)).copy()
+    done, left = np.zeros(n, dtype=np.int64), np.arange(n)
+    for i in range(1, int(m.max()) + 1):
+        bi = b[left, i - 1 : i]
+        cur = row + edit
+        cur[:, 1:] = np.minimum(cur[:, 1:], row[:, :-1] + ((a != bi) | (a == 0)) * edit)
+        row = np.minimum.accumulate(cur - ramp * edit, axis=1) + ramp * edit
+        last = m[left] == i
+        if last.any():
+            done[left[last]] = row[last].min(axis=1)
+            a, row, left = a[~last], row[~last], left[~last]
+    return done >> 32, done & (edit - 1)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Word edit distance of rows a[:m] and b[:m], for all pairs at once; a 0 in a is a missing word
     that equals nothing."""
@@ -204,9 +252,9 @@ def _parts(bench: DataFrame, item_col: str, text_col: str, max_ratio: float, bit
 
 def find_contamination(
     docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_ratio: float = MAX_RATIO,
-    bits: int = BITS, repetitions: int = REPETITIONS, index_grams: int = INDEX_GRAMS,
+    bits: int = BITS, repetitions: int = REPETITIONS, index_grams: int = INDEX_GRAMS, free_spans: bool = False,
 ) -> DataFrame:
-    """(doc_id, item_id, start, distance): the best window of each contaminated document and item."""
+    """(doc_id, item_id, start, distance): the best window or span of each contaminated document and item."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id long, start long, distance long"
 
@@ -215,7 +263,7 @@ def find_contamination(
             for b in it:
                 for s in batches([b]):
                     h, o = word_hashes(s.column(1))
-                    r = index.search(h, o)
+                    r = index.search(h, o, free_spans)
                     yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(r[:, 0])), pa.array(index.ids[r[:, 1]]), pa.array(np.ascontiguousarray(r[:, 2])), pa.array(np.ascontiguousarray(r[:, 3]))], names=["doc_id", "item_id", "start", "distance"])
 
         return run
@@ -227,7 +275,7 @@ def find_contamination(
 
 def drop_contaminated(
     docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", max_ratio: float = MAX_RATIO,
-    bits: int = BITS, repetitions: int = REPETITIONS, index_grams: int = INDEX_GRAMS,
+    bits: int = BITS, repetitions: int = REPETITIONS, index_grams: int = INDEX_GRAMS, free_spans: bool = False,
 ) -> DataFrame:
     """The documents that no item contaminates, with their columns."""
     ship_package(docs.sparkSession)
@@ -239,7 +287,7 @@ def drop_contaminated(
             for s in batches([pa.RecordBatch.from_arrays([texts], names=["t"])]):
                 h, o = word_hashes(s.column(0))
                 flags = np.ones(s.num_rows, dtype=bool)
-                flags[index.search(h, o)[:, 0]] = False
+                flags[index.search(h, o, free_spans)[:, 0]] = False
                 ok.append(flags)
             return pa.array(np.concatenate(ok) if ok else np.empty(0, dtype=bool))
 
@@ -251,7 +299,7 @@ def drop_contaminated(
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return find_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), free_spans=True)
 
 
 ORACLE_SQL = None

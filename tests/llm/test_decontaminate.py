@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from loomgraph.llm.common import word_hashes
-from loomgraph.llm.decontaminate import Index, drop_contaminated, edit_distance, find_contamination, limits, op8_benchmark_decontamination
+from loomgraph.llm.decontaminate import Index, drop_contaminated, edit_distance, find_contamination, limits, op8_benchmark_decontamination, span_distance
 
 from .helpers import CLASHING, SCHEMA, frame, rows, words
 
@@ -124,3 +124,54 @@ def test_query_finds_whole_items(spark, sf_dir):
     texts = {d: flat(t) for d, t in docs}
     want = {(d, i) for i, x in items for d, t in texts.items() if flat(x) in t}
     assert want and want <= {(r.doc_id, r.item_id) for r in op8_benchmark_decontamination(spark, sf_dir).collect()}
+
+
+def best_span(a, b):
+    """The distance of b to the span of a that is nearest to it, of any length."""
+    row = [0] * (len(a) + 1)
+    for i, y in enumerate(b, 1):
+        new = [i]
+        for j, x in enumerate(a, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_span_distance():
+    rng = np.random.default_rng(1)
+    a, b, m = rng.integers(0, 4, (80, 14)).astype(np.uint64), rng.integers(1, 4, (80, 9)).astype(np.uint64), rng.integers(1, 10, 80)
+    d, start = span_distance(a, b, m)
+    for p, q, n, x, s in zip(a.tolist(), b.tolist(), m, d, start):
+        p, q = [v or None for v in p], q[:n]
+        assert x == best_span(p, q) and min(distance(p[s:e], q) for e in range(s, 15)) == x
+        assert all(distance(p[k:e], q) > x for k in range(s) for e in range(k, 15))
+
+
+def test_insertions_against_free_spans(spark):
+    rng = random.Random(31)
+    items = [words(rng, m, 3000) for m in (10, 15, 30, 45, 60) for _ in range(6)]
+    texts = []
+    for k in range(180):
+        item = items[k % 30]
+        t = limits(len(item), 0.2)[0]
+        out = list(item)
+        for _ in range(rng.randrange(t // 2, t + 2)):
+            if k % 4 == 3:
+                del out[rng.randrange(len(out))]
+            else:
+                out.insert(rng.randrange(1, len(out)), f"ins{rng.randrange(999)}")
+        texts.append(" ".join(words(rng, rng.randrange(0, 40), 3000) + out + words(rng, rng.randrange(0, 40), 3000)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    split = lambda t: word_hashes(pa.array([t]))[0].tolist()
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            if (best := best_span(split(t), split(" ".join(x)))) <= limits(len(x), 0.2)[0]:
+                want[d, i] = best
+    df = frame(spark, texts)
+    got = {(r.doc_id, r.item_id): r.distance for r in find_contamination(df, bench, free_spans=True).collect()}
+    assert len(want) > 120 and all(want.get(k) == d for k, d in got.items())
+    assert len(got) >= 0.98 * len(want)
+    clean = {r.doc_id for r in drop_contaminated(df, bench, free_spans=True).collect()}
+    assert clean == set(range(len(texts))) - {d for d, _ in got}
+    assert len(find_contamination(df, bench).collect()) < 0.8 * len(want)  # windows of m words lose them
