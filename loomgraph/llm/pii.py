@@ -7,7 +7,8 @@ A text passes a chain of transducers that write a normalised text and the map ba
 * spelled digits: runs of at least three digits of which one is a word ("four one 5") become
   the digits without what separates them;
 * disguised at and dot: "(at)", "[dot]", "{at}" and their like become "@" and "."; bare "at" and "dot"
-  words only in the shape of a whole address ("jo at mail dot example dot com").
+  words only in the shape of a whole address ("jo at mail dot example dot com"), whose other
+  parts may be bracketed ("jo [at] example dot com").
 
 Identifiers (email, phone, credit card with its check digit, IPv4, US social security number, IBAN with
 its check digits, access keys and named secrets) are found in the normalised text, and their spans are
@@ -54,15 +55,19 @@ _WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _ITEM = rf"(?:{_WORD}|\d{{1,4}})"
 _AT = r"\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*"
 _DOT = r"\s*(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*"
-_BARE = r"\b[\w+-]+(?:(?:\.|\s+dot\s+)[\w+-]+)*\s+at\s+[\w-]+(?:\s+dot\s+[\w-]+)+\b"
+_LOCAL = rf"\b[\w+-]+(?:(?:\.|\s+dot\s+|{_DOT})[\w+-]+)*"
+_BARE = rf"{_LOCAL}(?:\s+at\s+|{_AT})[\w-]+(?:\s+dot\s+[\w-]+|(?:\.[\w-]+)*{_DOT}[\w-]+)+\b"
 _REWRITE = re.compile(
     rf"(?P<hidden>[\u200b-\u200f\u2060\ufeff\u00ad]+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<digits>(?<!\w)(?=[\d\s.,-]*(?:{_WORD}))(?:{_ITEM}[ \t.,-]+){{2,}}{_ITEM}(?!\w))",
     re.I,
 )
-#: A rewriting begins with one of these; looking for them is much cheaper than the rewriting itself.
+#: A rewriting holds one of these; looking for them is much cheaper than the rewriting itself.
 _HINT = re.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]|[(\[{<]\s*(?:at|dot|@|\.)\s*[)\]}>]")
-_SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[ \t.,-]+(?:{_WORD}|\d)")
-_BARE_HINT = re.compile(r"\sat\s+[\w-]+\s+dot\s")
+_SPELLED_HINT = re.compile(rf"\b(?:{_WORD})[ \t.,-]+(?:{_WORD}|\d)|\d[ \t.,-]+(?:{_WORD})")
+_AT_HINT = re.compile(r"\sat\s|[(\[{<]\s*(?:at|@)\s*[)\]}>]")
+_DOT_HINT = re.compile(r"\sdot\s|[(\[{<]\s*(?:dot|\.)\s*[)\]}>]")
+#: Letters that re.I takes for ASCII ones and lower() doesn't.
+_FOLDS = str.maketrans("ſİıK", "siik")
 _BARE_RE = re.compile(_BARE, re.I)
 _BARE_PART = re.compile(r"\s+(at|dot)\s+", re.I)
 _PIECE = re.compile(rf"{_WORD}|\d+", re.I)
@@ -87,21 +92,38 @@ _DIGIT = re.compile(r"\d")
 _NAMES = ("token", "secret", "key", "passw", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "akia", "asia")
 
 
+def _lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLDS).lower()
+
+
+def _hinted(low: str) -> tuple[bool, bool]:
+    """Whether a rewriting, or one of bare words, is possible at all."""
+    plain = bool(_HINT.search(low))
+    bare = (plain or "dot" in low) and bool(_DOT_HINT.search(low) and _AT_HINT.search(low))
+    return plain or bool(_SPELLED_HINT.search(low)), bare
+
+
 def _rewrites(text: str) -> list[tuple[int, int, str]]:
     """(start, finish, replacement), in order and without overlap."""
-    out, low = [], text.lower()
-    if _HINT.search(low) or _SPELLED_HINT.search(low):
+    out, kinds = [], []
+    some, bare = _hinted(_lower(text))
+    if some:
         for m in _REWRITE.finditer(text):
             kind = m.lastgroup
             new = {"hidden": "", "at": "@", "dot": "."}.get(kind)
             if kind == "digits":
-                new = "".join(_DIGIT_OF.get(p.group().lower(), p.group()) for p in _PIECE.finditer(m.group()))
+                new = "".join(_DIGIT_OF.get(_lower(p.group()), p.group()) for p in _PIECE.finditer(m.group()))
             out.append((m.start(), m.end(), new))
-    if _BARE_HINT.search(low):
-        taken = [(a, b) for a, b, _ in out]
+            kinds.append(kind)
+    if bare:
+        taken = [(a, b, kind in ("at", "dot")) for (a, b, _), kind in zip(out, kinds)]
         for m in _BARE_RE.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out += [(m.start() + p.start(), m.start() + p.end(), "@" if p.group(1).lower() == "at" else ".") for p in _BARE_PART.finditer(m.group())]
+            inside = [t for t in taken if t[0] < m.end() and m.start() < t[1]]
+            if all(bracketed for _, _, bracketed in inside):
+                for p in _BARE_PART.finditer(m.group()):
+                    lo, hi = m.start() + p.start(), m.start() + p.end()
+                    if not any(a < hi and lo < b for a, b, _ in inside):
+                        out.append((lo, hi, "@" if _lower(p.group(1)) == "at" else "."))
         out.sort()
     return out
 
@@ -146,6 +168,22 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _cards(pattern: re.Pattern, text: str):
+    """(start, finish) of credit card numbers: of each run of digits the longest part from its start, up to a
+    separator, that has its check digit."""
+    at = 0
+    while m := pattern.search(text, at):
+        at = finish = m.end()
+        while len(d := re.sub(r"\D", "", text[m.start() : finish])) >= 13:
+            if _luhn(d) and len(set(d)) > 1:
+                yield m.start(), finish
+                at = finish
+                break
+            finish = max(text.rfind(" ", m.start(), finish), text.rfind("-", m.start(), finish))
+            if finish < 0:
+                break
+
+
 def _iban(text: str) -> bool:
     s = text.replace(" ", "")
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -160,10 +198,11 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
         # what each kind can't do without
         if not ("@" in normal if kind == "email" else any(n in low for n in _NAMES) if kind == "secret" else digit):
             continue
+        if kind == "credit_card":
+            found += [(kind, a, b, normal[a:b]) for a, b in _cards(pattern, normal)]
+            continue
         for m in pattern.finditer(normal):
             value = m.group()
-            if kind == "credit_card" and not (_luhn(d := re.sub(r"\D", "", value)) and len(set(d)) > 1):
-                continue
             if kind == "iban" and not _iban(value):
                 continue
             found.append((kind, m.start(), m.end(), value))

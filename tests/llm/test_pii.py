@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm.pii import find, find_pii, normalise, op3_pii, source_span
+from loomgraph.llm.pii import _BARE_RE, _REWRITE, _hinted, _lower, find, find_pii, normalise, op3_pii, source_span
 
 from .helpers import CLASHING, SCHEMA, frame, rows
 
@@ -77,3 +77,32 @@ def test_query_against_a_plain_search(spark, sf_dir):
     for kind, pattern in (("email", r"\d+@mail\d\.example\.com"), ("ipv4", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"), ("phone", r"\+1 \(\d{3}\) \d{3}-\d{4}")):
         want = {(d, m.end()) for d, t in docs.items() for m in re.finditer(pattern, t)}
         assert want <= {(r.doc_id, r.finish) for r in got if r.kind == kind}
+
+
+MIXED = [
+    ("call 415 555 120 nine now", "phone", "415 555 120 nine", "4155551209"),
+    ("call 4155 5512 one now", "phone", "4155 5512 one", "415555121"),
+    ("call 415-555-012-seven now", "phone", "415-555-012-seven", "4155550127"),
+    ("to jo [at] example dot com now", "email", "jo [at] example dot com", "jo@example.com"),
+    ("jo at example [dot] com", "email", "jo at example [dot] com", "jo@example.com"),
+    ("jo dot doe (at) mail [dot] example dot com", "email", "jo dot doe (at) mail [dot] example dot com", "jo.doe@mail.example.com"),
+    ("jo at mail.example {dot} com", "email", "jo at mail.example {dot} com", "jo@mail.example.com"),
+    ("card 4111 1111 1111 1111 12/25", "credit_card", "4111 1111 1111 1111", "4111 1111 1111 1111"),
+    ("card 4111 1111 1111 1111 1 of 2", "credit_card", "4111 1111 1111 1111", "4111 1111 1111 1111"),
+    ("card 4111-1111-1111-1111 123", "credit_card", "4111-1111-1111-1111", "4111-1111-1111-1111"),
+]
+
+
+@pytest.mark.parametrize("text, kind, surface, value", MIXED)
+def test_found_with_mixed_parts_and_following_digits(text, kind, surface, value):
+    for around in ("{}", "{} ​", "(dot) {}"):  # unrelated text doesn't change it
+        assert [(k, t[a:b], v) for t in [around.format(text)] for k, a, b, v in find(t)] == [(kind, surface, value)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "jo", "nine", "One", "ſix", "nİne", "zéro", "415", "5", "1234", "at", "Dot", "(at)", "[ dot ]", "{.}", "<@>", "​", " ", " ", "-", ", ", ".", "\n"]), max_size=10))
+def test_hints_lose_nothing(parts):
+    text = "".join(parts)
+    some, bare = _hinted(_lower(text))
+    assert some or not _REWRITE.search(text)
+    assert bare or not _BARE_RE.search(text)
