@@ -4,11 +4,10 @@ A document is the weighted set of its shingles (`shingle` consecutive words), a
 count in the document times its inverse document frequency.  Two documents are near duplicates
 if the weighted Jaccard similarity (sum of minima over sum of maxima) reaches `threshold`.
 
-1. Document frequencies over the whole corpus.  A shingle rarer than a share `rare` of the
-   documents weighs log(1 / rare); so only the shingles above need a count, at most (shingles of
-   a mean document) / rare of them whatever the size of the corpus.  They are found exactly in two
-   passes: a shingle that is frequent in the corpus is frequent in at least one block of it;
-   the candidates of all blocks are then counted.
+1. Document frequencies of all shingles over the whole corpus, by a hash-partitioned count as in
+   `lm_score`: documents are hashed to chunks of about `chunk_bytes` of text, a hash range's blocks
+   from all chunks meet in one task, which returns to each chunk the counts of the others.  A shingle
+   weighs log(documents with text / its frequency).
 2. `bands` x `rows` consistent weighted samples of each document; a band of equal samples makes a
    candidate.  The chance to miss a pair at similarity s is (1 - s^rows)^bands: under 0.04 at
    the threshold.
@@ -35,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, batches, checkpoint, documents, map_arrow, mix, partitions, row_grams, word_hashes
+from .common import OWN, batches, checkpoint, documents, map_arrow, mix, partitions, row_grams, ship_package, word_hashes
+from .lm_score import CHUNK_BYTES, _decode, _encode, _pack, _unpack
 
 SHINGLE = 2
 THRESHOLD = 0.7
@@ -87,7 +87,7 @@ def _counts(held: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def frequencies(docs: DataFrame, n: int, rare: float, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and inverse document frequencies of the shingles in at least a share `rare`
-    of the documents with text."""
+    of the documents with text: a table for the driver.  The query counts all shingles instead."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
 
     def frequent(it):
@@ -130,6 +130,11 @@ def weights(g: np.ndarray, count: np.ndarray, idf: tuple[np.ndarray, np.ndarray]
     return w * count
 
 
+def idf_weights(df: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
+    # a shingle of all documents still weighs a little, so that no document is weightless
+    return np.maximum(np.log(total / df), 0.01) * count
+
+
 _DRAWS: dict[int, tuple] = {}
 
 
@@ -263,28 +268,64 @@ def groups(vectors: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, thres
     return np.array([find(i) for i in range(n)])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rare: float = RARE) -> DataFrame:
+def signatures(slim: DataFrame, total: int, size: int, shingle: int, bands: int, rows: int, chunk_bytes: int) -> DataFrame:
+    """(node, keys, df) of each (node, text) row with words: its band keys and the packed document
+    frequencies of its shingles, in the order of their hashes."""
+    ship_package(slim.sparkSession)
+    n = partitions(slim)
+    chunks, ranges = max(1, -(-size // chunk_bytes)), max(1, n)
+    placed = slim.select(F.pmod("node", F.lit(chunks)).cast("int").alias("chunk"), "node", "text").repartition(n, "chunk")
+    span, shift = (1 << 56) // ranges + 1, _U64(8)  # 56 bits of a hash are counted
+
+    def blocks(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("range", "chunk", "low", "high", "counts")}
+        keys, count = np.unique(shingles(table.column("text").combine_chunks(), shingle)[1] >> shift, return_counts=True)
+        cut = np.searchsorted(keys, np.arange(ranges + 1, dtype=_U64) * _U64(span))
+        for r in np.flatnonzero(np.diff(cut)):
+            part = slice(cut[r], cut[r + 1])
+            for c, v in zip(out, (int(r), table.column("chunk")[0].as_py(), *_encode(keys[part], count[part]))):
+                out[c].append(v)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
+
+    def totals(table: pa.Table) -> pa.Table:
+        parts = [_decode(a.as_py(), b.as_py(), c.as_py()) for a, b, c in zip(table.column("low"), table.column("high"), table.column("counts"))]
+        keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        own = np.concatenate([c for _, c in parts])
+        others = np.bincount(which, weights=own, minlength=len(keys)).astype(np.int64)[which] - own  # mostly 0
+        mine = np.split(others, np.cumsum([len(k) for k, _ in parts])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "others": pa.array([_pack(t) for t in mine], pa.binary())})
+
+    def signed(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, g, count = shingles(left.column("text").combine_chunks(), shingle)
+        _, which, own = np.unique(g >> shift, return_inverse=True, return_counts=True)
+        found = dict(zip(right.column("range").to_pylist(), right.column("others")))
+        others = [_unpack(found[r].as_py()) for r in sorted(found)]
+        df = (own + np.concatenate(others) if others else own)[which]
+        keys = band_keys(samples(row, g, idf_weights(df, count, total), left.num_rows, bands * rows), bands, rows)
+        some, start = np.unique(row, return_index=True)
+        packed = [_pack(x - 1) for x in np.split(df, start[1:])] if len(some) else []
+        return pa.table({
+            "node": left.column("node").take(pa.array(some)),
+            "keys": pa.FixedSizeListArray.from_arrays(pa.array(keys[some].ravel().view(np.int64)), bands).cast(pa.list_(pa.int64())),
+            "df": pa.array(packed, pa.binary()),
+        })
+
+    table = placed.groupBy("chunk").applyInArrow(blocks, "range int, chunk int, low binary, high binary, counts binary")
+    back = table.groupBy("range").applyInArrow(totals, "chunk int, range int, others binary").repartition(n, "chunk")
+    return placed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(signed, "node long, keys array<long>, df binary")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each document that has a near duplicate: doc_id, keep_doc_id (the document of its
     group that stays), keep, and __lg_node, a key of the row."""
-    idf = frequencies(docs, shingle, rare, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(_node(id_col, text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
-
-    def features(texts: pa.Array):
-        row, g, count = shingles(texts, shingle)
-        w = weights(g, count, idf, rare)
-        return row, g, w, band_keys(samples(row, g, w, len(texts), bands * rows), bands, rows)
-
-    def sign(it):
-        for b in it:
-            for s in batches([b]):
-                row, _, _, keys = features(s.column(1))
-                some = np.unique(row)
-                yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(some)), pa.FixedSizeListArray.from_arrays(pa.array(keys[some].ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))], names=["node", "keys"])
-
-    signed = map_arrow(slim.select("node", "text"), sign, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    links = signed.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b")).where("a != b").distinct()
-    member = components(links)
+    total, size = docs.agg(F.count(F.col(text_col)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).head()
+    signed = checkpoint(signatures(slim.select("node", "text"), total, size, shingle, bands, rows, chunk_bytes))
+    keyed = signed.select("node", F.explode("keys").alias("key"))
+    links = keyed.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b")).where("a != b").distinct()
+    member = components(links).join(signed.select("node", "df").dropDuplicates(["node"]), "node")
     found = slim.join(member, "node")
 
     def verify(it):
@@ -295,7 +336,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = table.column("text").combine_chunks()
             roots = table.column("root").to_numpy()
             ids, nodes = table.column("id").to_pylist(), table.column("node").to_numpy()
-            row, g, w, keys = features(texts)
+            row, g, count = shingles(texts, shingle)
+            df = np.concatenate([_unpack(x.as_py()) for x in table.column("df")]) + 1
+            w = idf_weights(df, count, total)
+            keys = band_keys(samples(row, g, w, len(texts), bands * rows), bands, rows)
             bounds = np.searchsorted(row, np.arange(len(texts) + 1))
             starts = np.append(np.flatnonzero(np.append(True, roots[1:] != roots[:-1])), len(roots))
             out: tuple[list, list, list, list] = ([], [], [], [])
@@ -323,7 +367,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    sorted_ = found.select("root", "node", "id", "text").repartition(partitions(docs), "root").sortWithinPartitions("root", "node")
+    sorted_ = found.select("root", "node", "id", "text", "df").repartition(partitions(docs), "root").sortWithinPartitions("root", "node")
     return map_arrow(sorted_, verify, f"doc_id {id_type}, keep_doc_id {id_type}, keep boolean, {OWN}node long")
 
 

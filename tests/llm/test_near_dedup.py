@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 
 from loomgraph.llm.common import word_hashes
-from loomgraph.llm.near_dedup import RARE, SHINGLE, THRESHOLD, components, drop_near_copies, frequencies, near_groups, op9_minhash_near_dedup, samples, shingles, similarity, weights
+from loomgraph.llm.near_dedup import RARE, SHINGLE, THRESHOLD, components, drop_near_copies, frequencies, near_groups, op9_minhash_near_dedup, samples, shingles, signatures, similarity, weights
+from loomgraph.llm.lm_score import _unpack
 
 from .helpers import CLASHING, SCHEMA, frame, rows, words
 
@@ -116,3 +117,27 @@ def test_query_against_whole_table(spark, sf_dir):
     want = {docs[i][0]: docs[k][0] for i, k in want.items() if i != k}
     got = {r.doc_id: r.keep_doc_id for r in op9_minhash_near_dedup(spark, sf_dir).collect()}
     assert set(got) <= set(want) and sum(got.get(i) == k for i, k in want.items()) >= 0.9 * len(want)
+
+
+def test_frequencies_of_all_shingles_over_chunks(spark):
+    texts = corpus(random.Random(6), 40) + ["one", "", "one"]
+    slim = frame(spark, texts).selectExpr("doc_id as node", "text").where("text != ''")
+    got = {r.node: _unpack(r.df) + 1 for r in signatures(slim, 43, 20_000, 2, 12, 4, 1000).collect()}
+    sets = [shingles(pa.array([t]), 2)[1].tolist() for t in texts]
+    count = Counter(g for x in sets for g in x)
+    assert {k: v.tolist() for k, v in got.items()} == {i: [count[g] for g in x] for i, x in enumerate(sets) if x}
+
+
+def test_passages_of_few_documents_weigh_less_than_unique_text(spark):
+    """Above 1,000 documents, where a passage of N / 1000 documents would weigh as unique text."""
+    texts, n = [], 3000
+    for p in range(8):
+        passage = [f"p{p}x{i}" for i in range(85)]
+        texts += [" ".join(passage + [f"own{p}a{d}x{i}" for i in range(16)]) for d in range(2)]
+        texts.append(" ".join(passage + [f"own{p}bx{i}" for i in range(400)]))
+    same = [f"s{i}" for i in range(100)]
+    texts += [" ".join(same), " ".join(same + ["more"])]
+    texts += [f"f{i} g{i} h{i}" for i in range(n - len(texts))]
+    shared, own = 84 * np.log(n / 3), 16 * np.log(n)
+    assert shared / (shared + 2 * own) < THRESHOLD < 84 / (84 + 2 * 16)
+    assert rows(near_groups(frame(spark, texts)), "doc_id", "keep_doc_id") == [(24, 24), (25, 24)]
