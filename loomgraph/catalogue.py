@@ -173,7 +173,18 @@ def j4_ranked(spark, sf):
 @query("""select e.edge_id, min(t.id) as target_id, 0.8::double as confidence from edg e join sym s on s.id = e.target_id
   join sym t on ends_with(t.qualified_name, '.' || split_part(s.qualified_name, '.', 2) || '.' || s.name) where e.edge_type = 'calls' group by 1""")
 def j5_suffix(spark, sf):
+    """Suffix resolution of the edges of type 'calls' only, as its SQL has it; `j5_suffix_all` is of all edges."""
     d = _dotted(spark, sf).join(edges(spark, sf).where("edge_type = 'calls'").select("edge_id"), "edge_id", "left_semi")
+    return _suffix(spark, sf, d)
+
+
+@query()
+def j5_suffix_all(spark, sf):
+    """Suffix resolution of the resolved edges of every type."""
+    return _suffix(spark, sf, _dotted(spark, sf))
+
+
+def _suffix(spark, sf, d):
     tail = F.concat_ws(".", F.element_at(F.split("target_name", r"\."), -2), F.element_at(F.split("target_name", r"\."), -1))
     return resolve.suffix(d.withColumn("target_name", tail), symbols(spark, sf))
 

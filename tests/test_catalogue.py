@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from loomgraph import catalogue
 from loomgraph.catalogue import ORACLES, QUERIES
 
 
@@ -38,3 +39,20 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 def test_records_without_sql(spark, sf_dir):
     assert QUERIES["snk8_json_records"](spark, sf_dir).count() == QUERIES["src4_symbols"](spark, sf_dir).count()
+
+
+def test_suffix_of_all_edges_by_brute_force(spark, sf_dir):
+    symbols = QUERIES["src4_symbols"](spark, sf_dir)
+    sym = {r["id"]: r["qualified_name"] for r in symbols.collect()}
+    by = {}
+    for i, q in sym.items():
+        parts = q.split(".")
+        for k in range(1, len(parts)):
+            t = ".".join(parts[k:])
+            by[t] = min(by.get(t, i), i)
+    want = {}
+    for r in catalogue.edges(spark, sf_dir).where("target_id is not null").collect():
+        if r.target_id in sym and (t := by.get(".".join(sym[r.target_id].split(".")[-2:]))) is not None:
+            want[r.edge_id] = (t, 0.8)
+    assert len(want) > QUERIES["j5_suffix"](spark, sf_dir).count()
+    assert {r.edge_id: (r.target_id, r.confidence) for r in QUERIES["j5_suffix_all"](spark, sf_dir).collect()} == want
