@@ -25,7 +25,8 @@ nothing of it is shuffled:
 An item collection whose q-grams exceed `index_grams` is taken in parts of that size, one
 pass over the documents each, so a task's memory is bounded.
 
-Defined results: null and empty texts and items without words match nothing; repeated items match
+Defined results: null and empty texts and items without words match nothing; items
+with a null item_id aren't reported by `find_contamination`, but filter in `drop_contaminated`; repeated items match
 each by themselves; repeated documents are reported alike.  Ties between windows of a document go to
 the smallest distance and then the first window or span.  All columns are kept by the filter.
 """
@@ -233,19 +234,19 @@ def edit_distance(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
     return done
 
 
-def _parts(bench: DataFrame, item_col: str, text_col: str, max_ratio: float, bits: int, repetitions: int, index_grams: int) -> list[Index]:
-    """The index, in parts of at most index_grams words."""
+def _parts(bench: DataFrame, item_col: str, text_col: str, max_ratio: float, bits: int, repetitions: int, index_grams: int, unnamed: bool = False) -> list[Index]:
+    """The index, in parts of at most index_grams words; `unnamed` items, of a null id, only on demand."""
     parts: list[list] = [[]]
     have = 0
     for batch in bench.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).toArrow().to_batches():
         h, o = word_hashes(batch.column(1))
         for k, item in enumerate(batch.column(0).to_pylist()):
             words = h[o[k] : o[k + 1]]
-            if len(words) and item is not None:
+            if len(words) and (unnamed or item is not None):
                 if have and have + len(words) > index_grams:
                     parts.append([])
                     have = 0
-                parts[-1].append((item, words))
+                parts[-1].append((-1 if item is None else item, words))
                 have += len(words)
     return [Index(p, max_ratio, bits, repetitions) for p in parts if p]
 
@@ -293,7 +294,7 @@ def drop_contaminated(
 
         return clean(F.col(text_col).cast("string"))
 
-    for part in _parts(bench, item_col, "text", max_ratio, bits, repetitions, index_grams):
+    for part in _parts(bench, item_col, "text", max_ratio, bits, repetitions, index_grams, unnamed=True):
         docs = docs.where(clean_of(part))
     return docs
 

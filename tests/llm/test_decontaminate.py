@@ -175,3 +175,11 @@ def test_insertions_against_free_spans(spark):
     clean = {r.doc_id for r in drop_contaminated(df, bench, free_spans=True).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in got}
     assert len(find_contamination(df, bench).collect()) < 0.8 * len(want)  # windows of m words lose them
+
+
+def test_items_without_id_still_filter(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (None, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    df = frame(spark, ["x one two three four five six", "alpha beta gamma delta epsilon zeta y", "neither"])
+    assert rows(find_contamination(df, bench), "doc_id", "item_id") == [(0, 1)]
+    for free in (False, True):
+        assert rows(drop_contaminated(df, bench, free_spans=free), "doc_id") == [(2,)]
