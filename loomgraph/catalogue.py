@@ -537,5 +537,6 @@ def st5_micro_batch_upsert(spark, sf):
 def snk8_json_records(spark, sf):
     from .render.json_out import symbol_records
 
-    return symbol_records(lookup.nodes(symbols(spark, sf), data_models(spark, sf)).withColumn("pagerank", F.lit(0.0)))
+    ranks = _ranked(symbols(spark, sf), _links(spark, sf)).select("id", "pagerank")
+    return symbol_records(lookup.nodes(symbols(spark, sf), data_models(spark, sf)).join(ranks, "id"))
 

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, at the smallest scale."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -56,3 +57,10 @@ def test_suffix_of_all_edges_by_brute_force(spark, sf_dir):
             want[r.edge_id] = (t, 0.8)
     assert len(want) > QUERIES["j5_suffix"](spark, sf_dir).count()
     assert {r.edge_id: (r.target_id, r.confidence) for r in QUERIES["j5_suffix_all"](spark, sf_dir).collect()} == want
+
+
+def test_records_have_their_ranks(spark, sf_dir):
+    ranks = {r.id: r.pagerank for r in QUERIES["g7_pagerank_10"](spark, sf_dir).collect()}
+    got = {r.id: json.loads(r.record)["pagerank"] for r in QUERIES["snk8_json_records"](spark, sf_dir).collect()}
+    assert got.keys() == ranks.keys() and max(got.values()) > 0
+    assert all(abs(got[i] - v) < 1e-6 for i, v in ranks.items())
