@@ -1,23 +1,29 @@
 """Licence scan: matching statistics of a generalised suffix automaton, chained to template spans.
 
-A suffix automaton of the words of all licence templates is built once on the driver; it is as large
-as the templates and doesn't grow with the corpus.  A text is streamed through it: at each word the
-automaton knows the longest suffix of the text that occurs in a template (the matching statistics).
-Maximal matches of at least `min_match` words are put down for every place of every template at
-which they occur, and a template's matches that go forward in the text and in the template, with at
-most `max_gap` words between, are chained.  A chain that covers `min_cover` of its template is a find.
+A suffix automaton of the words of all licence templates (notices, and the full texts in `licence_texts`) is
+built once on the driver; it is as large as the templates and doesn't grow with the corpus.  A text is streamed through
+it: at each word the automaton knows the longest suffix of the text that occurs in a template (the matching
+statistics) and, up its suffix links, the longest one for every other place of every template.  A match of at
+least `min_match` words is put down for each place at which it can't go on in that template, though it may go on in
+another.  A template's matches that go forward in the text and in the template, with at most `max_gap` words
+between, are chained.  A chain that covers `min_cover` of its template is a find.
 
 A match of min_match words needs one of the templates' min_match-grams; where a text has none (found
 for all words of a batch at once), the state can't reach a match and the words aren't streamed.
 That leaves out nothing.
 
-Defined results: null and empty texts have no row; repeated rows have theirs repeated.  Where finds of
-several templates overlap, the one with more words stays, then the larger share of its
-template, then the first by name.  start and finish are character offsets of the text.
+Defined results: null and empty texts and an empty table have no row; repeated rows have theirs repeated; texts of any
+length are read whole; extra columns, whatever their names, are ignored.  Where finds of
+several templates overlap, the one stays whose matched words less the words that its template misses are more, so
+that a text which breaks off isn't taken for a longer licence; then the larger share of its template, then the first by
+name, then the earlier one.  start and finish are character offsets of the text.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +86,7 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
     "CC-BY-NC-4.0 long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-SA-4.0 long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
-}
+} | {f"{p.stem} text": p.read_text(encoding="utf-8").strip() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 
 
 class Automaton:
@@ -124,57 +130,89 @@ class Automaton:
                 ends[last].add((number, i + 1))
         # where the words of a state end in the texts: its own ends and those of states that link to it
         for s in sorted(range(1, len(self.length)), key=lambda s: -self.length[s]):
-            if self.link[s] > 0:
+            if self.length[self.link[s]] >= min_match:
                 ends[self.link[s]] |= ends[s]
-        self.ends = [sorted(e) if n >= min_match else [] for e, n in zip(ends, self.length)]
+
+        def places(of: set[tuple[int, int]]) -> list[tuple[int, int, int | None]]:
+            return [(k, e, texts[k][e] if e < len(texts[k]) else None) for k, e in sorted(of)]
+
+        #: for each state its places (template, end, the template's next word), and those of shorter matches on
+        #: the way to the root, with their length: every place has the longest match that ends there
+        self.places = [places(e) if n >= min_match else [] for e, n in zip(ends, self.length)]
+        self.shorter: list[list[tuple[int, int, int | None, int]]] = [[] for _ in ends]
+        for s in sorted(range(1, len(self.length)), key=lambda s: self.length[s]):
+            up = self.link[s]
+            if self.length[up] >= min_match:
+                self.shorter[s] = [(*x, self.length[up]) for x in places(ends[up] - ends[s])] + self.shorter[up]
 
     def matches(self, words: list[int], min_match: int) -> list[tuple[int, int, int, int]]:
-        """(template, end in the template, end in the words, length) of the maximal matches."""
+        """(template, end in the template, end in the words, length) of all matches that can't be made longer
+        at either end in their template, whatever other templates have there."""
         out = []
         s = n = 0
-        before = (0, 0)
-        for i, c in enumerate(words):
+        for i, c in enumerate(words, 1):
             while s and c not in self.next[s]:
                 s = self.link[s]
                 n = self.length[s]
             t = self.next[s].get(c)
             if t is None:
                 s = n = 0
-            else:
-                s, n = t, n + 1
-            if before[1] >= min_match and n != before[1] + 1:
-                out += [(k, e, i, before[1]) for k, e in self.ends[before[0]]]
-            before = (s, n)
-        if n >= min_match:
-            out += [(k, e, len(words), n) for k, e in self.ends[s]]
+                continue
+            s, n = t, n + 1
+            if n < min_match:
+                continue
+            follows = words[i] if i < len(words) else None
+            for k, e, then in self.places[s]:
+                if then is None or then != follows:
+                    out.append((k, e, i, n))
+            for k, e, then, short in self.shorter[s]:
+                if then is None or then != follows:
+                    out.append((k, e, i, short))
         return out
 
 
 def chains(matches: list[tuple[int, int, int, int]], sizes: list[int], max_gap: int, min_cover: float) -> list[tuple[int, int, int, int]]:
-    """(template, first word, end word, matched words) of chains that cover enough of a template."""
+    """(template, first word, end word, matched words): for each match the chain that ends with it and
+    covers most of the template, if that is enough; of equal ones that which starts last."""
     found = []
     by: dict[int, list[tuple[int, int, int]]] = {}
     for k, te, de, n in matches:
         by.setdefault(k, []).append((de, te, n))
     for k, own in by.items():
+        if sum(n for _, _, n in own) < min_cover * sizes[k]:
+            continue
         own.sort()
-        best: list[tuple[int, int]] = []  # matched words of the best chain to here, its first word
-        for i, (de, te, n) in enumerate(own):
-            score, start = n, de - n
-            for j in range(i - 1, -1, -1):
-                d2, t2, _ = own[j]
-                if de - n - d2 > max_gap + max(sizes):
-                    break
-                # an overlap in either text is counted once
-                over = max(0, d2 - (de - n), t2 - (te - n))
-                if d2 < de and t2 < te and over < n and de - n - d2 <= max_gap and te - n - t2 <= max_gap and best[j][0] + n - over > score:
-                    score, start = best[j][0] + n - over, best[j][1]
-            best.append((score, start))
-            if score >= min_cover * sizes[k]:
-                found.append((k, start, de, score))
+        de, te, n = np.array(own, dtype=np.int64).T
+        first = np.searchsorted(de, de - n - max_gap)  # matches that end earlier are too far away
+        score, start = n.copy(), de - n
+        for i in range(len(own)):
+            lo = first[i]
+            if lo == i:
+                continue
+            d2, t2 = de[lo:i], te[lo:i]
+            # an overlap in either text is counted once
+            over = np.maximum(0, np.maximum(d2 - (de[i] - n[i]), t2 - (te[i] - n[i])))
+            total = np.where((d2 < de[i]) & (t2 < te[i]) & (over < n[i]) & (te[i] - n[i] - t2 <= max_gap), score[lo:i] + n[i] - over, 0)
+            best = total.max()
+            if best >= score[i]:
+                begin = start[lo:i][total == best].max()
+                if (best, begin) > (score[i], start[i]):
+                    score[i], start[i] = best, begin
+        for i in np.flatnonzero(score >= min_cover * sizes[k]):
+            found.append((k, int(start[i]), int(de[i]), int(score[i])))
     return found
 
 
+def choose(finds: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, int]]:
+    """Finds without overlap, in the order of the text; see the rules above."""
+    kept: list[tuple[int, int, int, int]] = []
+    for f in sorted(finds, key=lambda x: (sizes[x[0]] - 2 * x[3], -x[3] / sizes[x[0]], x[0], x[1], x[2])):
+        at = bisect_left(kept, (f[1], f[2], f[0], f[3]), key=lambda x: (x[1], x[2], x[0], x[3]))
+        if (at == 0 or kept[at - 1][2] <= f[1]) and (at == len(kept) or f[2] <= kept[at][1]):
+            kept.insert(at, f)
+    return kept
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, min_cover: float = MIN_COVER) -> DataFrame:
     """(doc_id, licence, start, finish, matched, words): spans of licence templates."""
     names = sorted(templates or TEMPLATES)
@@ -185,14 +223,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def finds(words: list[int], text: str):
-        raw = chains(automaton.matches(words, min_match), automaton.sizes, max_gap, min_cover)
-        raw.sort(key=lambda x: (-x[3], -x[3] / automaton.sizes[x[0]], x[0]))
-        kept: list[tuple[int, int, int, int]] = []
-        for f in raw:
-            if not any(f[1] < k[2] and k[1] < f[2] for k in kept):
-                kept.append(f)
+        kept = choose(chains(automaton.matches(words, min_match), automaton.sizes, max_gap, min_cover), automaton.sizes)
         spans = [m.span() for m in WORD_RE.finditer(text)] if kept else []
-        return [(names[k], spans[a][0], spans[b - 1][1], n, automaton.sizes[k]) for k, a, b, n in sorted(kept, key=lambda x: x[1])]
+        return [(names[k], spans[a][0], spans[b - 1][1], n, automaton.sizes[k]) for k, a, b, n in kept]
 
     def run(it):
         for b in it:
