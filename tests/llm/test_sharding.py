@@ -48,3 +48,36 @@ def test_query_keeps_the_whole_table(spark, sf_dir):
     out = op7_sharding(spark, sf_dir)
     assert out.count() == docs.count() and out.columns == [*docs.columns, "shard"]
     check(docs, 30_000)
+
+
+def test_ids_that_are_no_numbers(spark):
+    df = frame(spark, [(i, "x" * (50 + i % 90)) for i in range(1500)]).selectExpr("if(doc_id % 50 = 0, null, concat('id-', doc_id)) doc_id", "text", "lang", "if(doc_id % 3 = 0, 'hot', source) source", "n_chars")
+    out = shard(df, shard_bytes=8000).collect()
+    assert Counter(tuple(r)[:-1] for r in out) == Counter(tuple(r) for r in df.collect())
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append((r.source, r.doc_id or ""))
+    ranges = [(min(v), max(v)) for _, v in sorted(by.items())]
+    assert len(ranges) > 15 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_rounds_go_on_until_nothing_can_be_divided(spark):
+    """Two pieces a round and a sample of a record or two: far more rounds than a limit would allow; and one record as large as all others."""
+    df = frame(spark, [(0, "h" * 40_000)] + [(i, "x" * 100) for i in range(1, 70)]).selectExpr("doc_id", "text", "lang", "'one' source", "n_chars")
+    size = check(df, 1000, fan_out=2, oversample=1)
+    assert sorted(size.values())[-2:] == [sorted(size.values())[-2], 40_000 + ROW_BYTES] and sorted(size.values())[-2] <= 1250
+
+
+def test_against_a_brute_force_search_of_the_cuts(spark):
+    import random
+
+    import pyarrow as pa
+
+    from loomgraph.llm.sharding import Cuts
+
+    rng = random.Random(2)
+    for kind in (lambda: rng.randrange(4), lambda: rng.choice(["", "=a", "=b", "=é"])):
+        cuts = sorted({(rng.choice("abc"), kind(), rng.randrange(3)) for _ in range(12)})
+        found = [(rng.choice("abcd"), kind(), rng.randrange(3)) for _ in range(300)]
+        got = Cuts(cuts).numbers(*(pa.array(x) for x in zip(*found)))
+        assert got.tolist() == [sum(c <= x for c in cuts) for x in found]
