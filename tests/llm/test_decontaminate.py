@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -183,3 +184,64 @@ def test_items_without_id_still_filter(spark):
     assert rows(find_contamination(df, bench), "doc_id", "item_id") == [(0, 1)]
     for free in (False, True):
         assert rows(drop_contaminated(df, bench, free_spans=free), "doc_id") == [(2,)]
+
+
+def test_long_items_and_short_ones_in_one_index(spark):
+    rng = random.Random(4)
+    sizes = (8, 30, 500, 3000, 10_000)
+    items = [words(rng, m, 20_000) for m in sizes]
+    held = [(i, h) for i, h in enumerate(word_hashes(pa.array([" ".join(x)]))[0] for x in items)]
+    noise = lambda n: words(rng, n, 20_000)
+    texts = [" ".join(noise(300) + x + noise(300)) for x in items] + [" ".join(noise(50) + edited(rng, " ".join(x).split(), len(x) // 10) + noise(50)) for x in items] + [" ".join(noise(12_000))]
+    began = time.process_time()
+    index = Index(held, 0.2, 4, 24)
+    built = time.process_time() - began
+    for k, t in enumerate(texts):
+        h, o = word_hashes(pa.array([t]))
+        began = time.process_time()
+        got = index.search(h, o, True)
+        assert time.process_time() - began + built < 30
+        got = [(index.ids[i], s, d) for _, i, s, d in got.tolist()]
+        if k < 5:
+            assert got == [(k, 300, 0)]
+        elif k < 10:
+            assert [g[0] for g in got] == [k - 5] and got[0][2] <= sizes[k - 5] // 10
+        else:
+            assert got == []
+    h, o = word_hashes(pa.array(texts))  # all at once
+    assert [(r, index.ids[i]) for r, i, _, _ in index.search(h, o, True).tolist()] == [(k, k % 5) for k in range(10)]
+
+
+def test_ids_of_items_and_documents_may_be_text(spark):
+    bench = spark.createDataFrame([("x-1", "one two three four five six"), (None, "seven eight nine ten eleven twelve")], "item_id string, text string")
+    df = frame(spark, ["so one two three four five six", "seven eight nine ten eleven twelve", "neither"]).selectExpr("concat('d', doc_id) doc_id", "text")
+    for free in (False, True):
+        assert rows(find_contamination(df, bench, free_spans=free), "doc_id", "item_id") == [("d0", "x-1")]
+        assert rows(drop_contaminated(df, bench, free_spans=free), "doc_id") == [("d2",)]
+
+
+def test_parts_give_what_one_index_gives(spark):
+    texts, items = corpus(random.Random(18))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = frame(spark, texts)
+    whole = rows(find_contamination(df, bench, free_spans=True), "doc_id", "item_id", "distance")
+    assert whole == rows(find_contamination(df, bench, free_spans=True, index_grams=60), "doc_id", "item_id", "distance") and len(whole) > 20
+    assert rows(drop_contaminated(df, bench, free_spans=True), "doc_id") == rows(drop_contaminated(df, bench, free_spans=True, index_grams=60), "doc_id")
+
+
+def test_whole_query_against_free_spans(spark, sf_dir):
+    """Every pair of the tables by dynamic programming; short documents, as the plain version is slow."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    split = lambda t: word_hashes(pa.array([t or ""]))[0]
+    want = set()
+    for d, t in docs:
+        a = split(t)
+        known = set(a.tolist())
+        for i, x in items:
+            b = split(x)
+            limit = limits(len(b), 0.2)[0]
+            if len(a) and sum(w in known for w in b.tolist()) >= len(b) - limit and span_distance(a[None, :], b[None, :], np.array([len(b)]))[0][0] <= limit:
+                want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in op8_benchmark_decontamination(spark, sf_dir).collect()}
+    assert want and got <= want and len(got) >= 0.98 * len(want)
