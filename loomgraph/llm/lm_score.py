@@ -12,7 +12,8 @@ corpus, so both sides move as sorted blocks:
 1. Documents are hashed to chunks of about `chunk_bytes` of text.  A chunk's distinct n-grams are sorted
    by a 56-bit hash; a block is the part of one hash range, written as 4 low bytes and the
    differences of the high ones, with the counts.
-2. A hash range's blocks from all chunks meet in one task, which adds the counts (the n-gram table of that
+2. There are so many hash ranges that each holds the n-grams of about `range_bytes` of text (one n-gram is at most
+   once in each chunk's block, however often it occurs).  A hash range's blocks from all chunks meet in one task, which adds the counts (the n-gram table of that
    partition) and returns to each chunk, in the order of its block, the counts of the other chunks.
 3. A chunk joins them to its n-grams by place and sums the scores of its documents.
 
@@ -20,7 +21,9 @@ The chunks' shuffle is used by both ends.  What moves follows the distinct n-gra
 5 bytes each.
 
 Defined results: a document without words (null or empty text) has n_words 0 and a null score.
-Repeated rows count as often as they occur and have a row each.  Extra columns aren't carried.
+Repeated rows count as often as they occur and have a row each.  An empty table has no rows.  Texts are read whole, whatever
+their length.  Extra columns, whatever their names, aren't carried.  min_count is 2 because an n-gram that occurs
+once is the one being scored: by its own count it would be certain.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 CHUNK_BYTES = 8 << 20
+RANGE_BYTES = 32 << 20
 _U64 = np.uint64
 _SHIFT = _U64(8)  # 56 bits of a hash are used
 
@@ -67,14 +71,14 @@ def _decode(low: bytes, high: bytes, counts: bytes) -> tuple[np.ndarray, np.ndar
     return (top << _U64(32)) | np.frombuffer(low, dtype="<u4"), _unpack(counts) + 1
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, n_words, score) for each document."""
     spark, n = docs.sparkSession, partitions(docs)
     ship_package(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    chunks, ranges = max(1, -(-size // chunk_bytes)), max(1, n)
+    chunks, ranges = max(1, -(-size // chunk_bytes)), max(n, -(-size // range_bytes))
     node = F.xxhash64(F.col(id_col).cast("string"), text)
     placed = docs.select(F.pmod(node, F.lit(chunks)).cast("int").alias("chunk"), node.alias("node"), F.col(id_col).alias("id"), text.alias("text")).repartition(n, "chunk")
     span = (1 << 56) // ranges + 1

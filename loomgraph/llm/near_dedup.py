@@ -11,37 +11,42 @@ if the weighted Jaccard similarity (sum of minima over sum of maxima) reaches `t
 2. `bands` x `rows` consistent weighted samples of each document; a band of equal samples makes a
    candidate.  The chance to miss a pair at similarity s is (1 - s^rows)^bands: under 0.04 at
    the threshold.
-3. Each band's bucket links its members to the smallest one, and alternating large-star and
-   small-star steps join the links to candidate components.  Buckets of any size cost
-   one link a member.
-4. A component's documents meet in one task, which verifies pairs that share a bucket by their
-   exact similarity.  A pair that is already connected by verified pairs isn't compared: it can't
-   change the groups.  Identical documents are compared once.
-
-The result are groups, the connected components of the verified pairs.
+3. Rows of one text are folded to one of them; only distinct texts are compared.
+4. Documents that share a band's bucket meet in cells of the bucket and are compared by their exact similarity, unless links
+   found before connect them already: such a pair can't change the groups.  The buckets of `FIRST` bands come
+   first, and the connected components of their links spare most of the comparisons in the other buckets: one whose documents
+   are all connected isn't looked at again.
+5. A bucket of more than `cell` documents is divided into blocks.  At first each block is compared within itself and
+   with the bucket's first document, which connects a group of similar ones however large it is; if
+   documents of the bucket are still apart after that, all pairs of blocks are, each in a task's cell of its own.  So a
+   task holds 2 x `cell` documents at most, and no pair is left out.
+
+The result are groups, the connected components of the verified pairs, by alternating large-star and small-star steps,
+which aggregate before they shuffle.
 
 Defined results: documents with fewer words than a shingle are the single shingle of all their
 words; documents without words (null, empty) are near duplicates of nothing.  Rows that agree
 in doc_id and text count as one document and share their fate (exact deduplication removes
-them).  The document that stays is that of the smallest doc_id, null doc_ids last, ties by a hash of
-the text.  The filter keeps all columns.
+them); a row's key is a 64-bit hash of the two.  The document that stays is that of the smallest doc_id, null doc_ids
+last, ties by that key.  An empty table gives no rows.  Texts are read whole, whatever their length.  Extra columns, whatever
+their names, are ignored by `near_groups` and kept by the filter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import OWN, batches, checkpoint, documents, map_arrow, mix, partitions, row_grams, ship_package, word_hashes
-from .lm_score import CHUNK_BYTES, _decode, _encode, _pack, _unpack
+from .lm_score import CHUNK_BYTES, RANGE_BYTES, _decode, _encode, _pack, _unpack
 
 SHINGLE = 2
 THRESHOLD = 0.7
 BANDS, ROWS = 12, 4
-RARE = 1e-3
-BLOCK_ROWS = 4000
+FIRST = 3
+CELL = 256
 FLUSH_BYTES = 4 << 20
 _U64 = np.uint64
 _TABLE = 1 << 16
@@ -63,73 +68,6 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return row[at], g[at], np.diff(np.append(at, len(g)))
 
 
-def _blocks(it):
-    """Slices in blocks of at least BLOCK_ROWS rows; a partition with fewer rows is one block."""
-    ready, held, n = None, [], 0
-    for b in it:
-        for s in batches([b]):
-            held.append(s.column(0))
-            n += s.num_rows
-            if n >= BLOCK_ROWS:
-                if ready:
-                    yield ready
-                ready, held, n = (held, n), [], 0
-    if ready and n:
-        ready = ready[0] + held, ready[1] + n
-    if ready or n:
-        yield ready or (held, n)
-
-
-def _counts(held: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [shingles(t, n)[1] for t in held]
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, _U64), np.empty(0, np.int64))
-
-
-def frequencies(docs: DataFrame, n: int, rare: float, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and inverse document frequencies of the shingles in at least a share `rare`
-    of the documents with text: a table for the driver.  The query counts all shingles instead."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-
-    def frequent(it):
-        for held, rows in _blocks(it):
-            keys, count = _counts(held, n)
-            keys = keys[count >= rare * rows]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), 0))], names=["g", "rows"])
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([rows])], names=["g", "rows"])
-
-    found = checkpoint(map_arrow(texts, frequent, "g long, rows long").groupBy("g", F.col("rows") > 0).agg(F.sum("rows").alias("rows")))
-    total = found.agg(F.sum("rows")).head()[0] or 0
-    candidates = np.sort(found.where(F.col("rows") == 0).select("g").toArrow().column(0).to_numpy().view(_U64))
-    if not len(candidates):
-        return candidates, np.empty(0)
-
-    def count(it):
-        total_counts = np.zeros(len(candidates), dtype=np.int64)
-        for held, _ in _blocks(it):
-            keys, c = _counts(held, n)
-            at = np.minimum(np.searchsorted(candidates, keys), len(candidates) - 1)
-            hit = candidates[at] == keys
-            total_counts[at[hit]] += c[hit]
-        some = np.flatnonzero(total_counts)
-        yield pa.RecordBatch.from_arrays([pa.array(candidates[some].view(np.int64)), pa.array(total_counts[some])], names=["g", "df"])
-
-    df = map_arrow(texts, count, "g long, df long").groupBy("g").agg(F.sum("df").alias("df")).where(F.col("df") > rare * total).toArrow()
-    g, c = df.column(0).to_numpy().view(_U64), df.column(1).to_numpy()
-    order = np.argsort(g)
-    # a shingle of all documents still weighs a little, so that no document is weightless
-    return g[order], np.maximum(np.log(total / c[order]), 0.01)
-
-
-def weights(g: np.ndarray, count: np.ndarray, idf: tuple[np.ndarray, np.ndarray], rare: float) -> np.ndarray:
-    keys, value = idf
-    w = np.full(len(g), np.log(1 / rare))
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        hit = keys[at] == g
-        w[hit] = value[at[hit]]
-    return w * count
-
-
 def idf_weights(df: np.ndarray, count: np.ndarray, total: int) -> np.ndarray:
     # a shingle of all documents still weighs a little, so that no document is weightless
     return np.maximum(np.log(total / df), 0.01) * count
@@ -197,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
             both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+        low = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", F.least("u", "m").alias("m"))
         if large:
             out = low.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -231,11 +169,11 @@ def similarity(g1: np.ndarray, w1: np.ndarray, g2: np.ndarray, w2: np.ndarray) -
     return float(low / (w1.sum() + w2.sum() - low))
 
 
-def groups(vectors: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, threshold: float) -> np.ndarray:
-    """A group number for each document: connected components of the pairs that share a key and
-    reach the threshold."""
-    n = len(vectors)
-    parent = np.arange(n)
+def connect(vectors: list[tuple[np.ndarray, np.ndarray]], roots: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Pairs that reach the threshold, of documents that neither equal roots nor pairs before connect."""
+    known: dict[int, int] = {}
+    parent = [known.setdefault(r, i) for i, r in enumerate(roots)]
+    links = []
 
     def find(i):
         while parent[i] != i:
@@ -243,37 +181,25 @@ def groups(vectors: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, thres
             i = parent[i]
         return i
 
-    same: dict[bytes, int] = {}
-    distinct = []
-    for i, (g, w) in enumerate(vectors):
-        j = same.setdefault(g.tobytes() + w.tobytes(), i)
-        if j == i:
-            distinct.append(i)
-        else:
-            parent[i] = j
-    buckets: dict[int, list[int]] = {}
-    for i in distinct:
-        for key in keys[i].tolist():
-            buckets.setdefault(key, []).append(i)
-    tried: set[tuple[int, int]] = set()
-    for members in buckets.values():
-        for k, i in enumerate(members):
-            for j in members[:k]:
-                a, b = find(i), find(j)
-                if a == b or (j, i) in tried:
-                    continue
-                tried.add((j, i))
-                if similarity(*vectors[i], *vectors[j]) >= threshold:
-                    parent[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)])
-
-
-def signatures(slim: DataFrame, total: int, size: int, shingle: int, bands: int, rows: int, chunk_bytes: int) -> DataFrame:
+    weight = [float(w.sum()) for _, w in vectors]
+    for i in range(len(vectors)):
+        for j in range(i):
+            # sums too different can't reach it, whatever the shingles are
+            if min(weight[i], weight[j]) < threshold * max(weight[i], weight[j]) * (1 - 1e-9):
+                continue
+            a, b = find(i), find(j)
+            if a != b and similarity(*vectors[i], *vectors[j]) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                links.append((j, i))
+    return links
+
+
+def signatures(slim: DataFrame, total: int, size: int, shingle: int, bands: int, rows: int, chunk_bytes: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(node, keys, df) of each (node, text) row with words: its band keys and the packed document
     frequencies of its shingles, in the order of their hashes."""
     ship_package(slim.sparkSession)
     n = partitions(slim)
-    chunks, ranges = max(1, -(-size // chunk_bytes)), max(1, n)
+    chunks, ranges = max(1, -(-size // chunk_bytes)), max(n, -(-size // range_bytes))
     placed = slim.select(F.pmod("node", F.lit(chunks)).cast("int").alias("chunk"), "node", "text").repartition(n, "chunk")
     span, shift = (1 << 56) // ranges + 1, _U64(8)  # 56 bits of a hash are counted
 
@@ -316,59 +242,89 @@ def signatures(slim: DataFrame, total: int, size: int, shingle: int, bands: int,
     return placed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(signed, "node long, keys array<long>, df binary")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row for each document that has a near duplicate: doc_id, keep_doc_id (the document of its
-    group that stays), keep, and __lg_node, a key of the row."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(_node(id_col, text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
-    total, size = docs.agg(F.count(F.col(text_col)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).head()
-    signed = checkpoint(signatures(slim.select("node", "text"), total, size, shingle, bands, rows, chunk_bytes))
-    keyed = signed.select("node", F.explode("keys").alias("key"))
-    links = keyed.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("key")).alias("b")).where("a != b").distinct()
-    member = components(links).join(signed.select("node", "df").dropDuplicates(["node"]), "node")
-    found = slim.join(member, "node")
+def _links(members: DataFrame, docs: DataFrame, shingle: int, threshold: float, total: int) -> DataFrame:
+    """(a, b) verified pairs from (key, cell, node, root) rows and the documents (node, text, df)."""
 
     def verify(it):
-        held: list[pa.RecordBatch] = []
-
         def flush(table: pa.Table):
-            """Whole components."""
-            texts = table.column("text").combine_chunks()
-            roots = table.column("root").to_numpy()
-            ids, nodes = table.column("id").to_pylist(), table.column("node").to_numpy()
-            row, g, count = shingles(texts, shingle)
-            df = np.concatenate([_unpack(x.as_py()) for x in table.column("df")]) + 1
-            w = idf_weights(df, count, total)
-            keys = band_keys(samples(row, g, w, len(texts), bands * rows), bands, rows)
-            bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-            starts = np.append(np.flatnonzero(np.append(True, roots[1:] != roots[:-1])), len(roots))
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            """Whole cells."""
+            texts, nodes, roots = table.column("text").combine_chunks(), table.column("node").to_numpy(), table.column("root").to_numpy()
+            key, cell = table.column("key").to_numpy(), table.column("cell").to_numpy()
+            first = np.unique(nodes, return_index=True)[1]  # a document may be in several cells
+            place = dict(zip(nodes[first].tolist(), range(len(first))))
+            row, g, count = shingles(texts.take(pa.array(first)), shingle)
+            df = np.concatenate([_unpack(x.as_py()) for x in table.column("df").take(pa.array(first))]) + 1
+            w, bounds = idf_weights(df, count, total), np.searchsorted(row, np.arange(len(first) + 1))
+            fresh = np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))
+            starts = np.append(np.flatnonzero(fresh), len(key))
+            a, b = [], []
             for lo, hi in zip(starts[:-1], starts[1:]):
-                label = groups([(g[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]]) for i in range(lo, hi)], keys[lo:hi], threshold)
-                for k in np.flatnonzero(np.bincount(label) > 1):
-                    own = (np.flatnonzero(label == k) + lo).tolist()
-                    stay = min(own, key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0, nodes[i]))
-                    for i in own:
-                        for column, value in zip(out, (ids[i], ids[stay], nodes[i] == nodes[stay], nodes[i])):
-                            column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], table.schema.field("id").type), pa.array(out[1], table.schema.field("id").type), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64())], names=["doc_id", "keep_doc_id", "keep", OWN + "node"])
+                at = [place[x] for x in nodes[lo:hi].tolist()]
+                for i, j in connect([(g[bounds[k] : bounds[k + 1]], w[bounds[k] : bounds[k + 1]]) for k in at], roots[lo:hi].tolist(), threshold):
+                    a.append(nodes[lo + i]), b.append(nodes[lo + j])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        held: list[pa.RecordBatch] = []
         size, last = 0, None
         for b in it:
             for s in batches([b]):
-                # rows come sorted by root: those from `first` on may go on in the next slice
-                roots = s.column(s.schema.get_field_index("root")).to_numpy()
-                first = int(np.searchsorted(roots, roots[-1], "left"))
-                if size > FLUSH_BYTES and (first or roots[0] != last):
+                # rows come sorted by cell: those from `first` on may go on in the next slice
+                key, cell = s.column(s.schema.get_field_index("key")).to_numpy(), s.column(s.schema.get_field_index("cell")).to_numpy()
+                other = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+                first = int(other[-1]) + 1 if len(other) else 0
+                if size > FLUSH_BYTES and (first or (key[0], cell[0]) != last):
                     yield flush(pa.Table.from_batches([*held, s.slice(0, first)]))
                     held, size, s = [], 0, s.slice(first)
                 held.append(s)
-                size, last = size + s.nbytes, roots[-1]
+                size, last = size + s.nbytes, (key[-1], cell[-1])
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    sorted_ = found.select("root", "node", "id", "text", "df").repartition(partitions(docs), "root").sortWithinPartitions("root", "node")
-    return map_arrow(sorted_, verify, f"doc_id {id_type}, keep_doc_id {id_type}, keep boolean, {OWN}node long")
+    rows = members.join(docs, "node").select("key", "cell", "node", "root", "text", "df")
+    return map_arrow(rows.repartition(partitions(docs), "key", "cell").sortWithinPartitions("key", "cell", "node"), verify, "a long, b long")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+    chunk_bytes: int = CHUNK_BYTES, cell: int = CELL,
+) -> DataFrame:
+    """One row for each document that has a near duplicate: doc_id, keep_doc_id (the document of its
+    group that stays), keep, and __lg_node, a key of the row."""
+    slim = docs.select(_node(id_col, text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    total, size = docs.agg(F.count(F.col(text_col)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).head()
+    signed = checkpoint(signatures(slim.select("node", "text"), total, size, shingle, bands, rows, chunk_bytes))
+    # rows of one text: its hash and a band key of its own are the same
+    twins = checkpoint(slim.select("node", F.xxhash64("text").alias("twin")).join(signed.select("node", F.col("keys")[0].alias("k0")), "node").distinct())
+    several = twins.groupBy("twin", "k0").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = checkpoint(twins.join(several, ["twin", "k0"]).where("node != rep").select("node", "rep"))
+    alone = signed.join(copies.select("node"), "node", "left_anti")
+    texts = slim.select("node", "text").dropDuplicates(["node"]) if twins.count() < signed.count() else slim.select("node", "text")
+    texts = texts.join(alone.select("node", "df").dropDuplicates(["node"]), "node")
+    keyed = alone.select("node", F.posexplode("keys").alias("band", "key")).distinct()
+
+    block = F.pmod(F.xxhash64("node", "key"), F.col("g"))
+    count = [F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")]
+    g = F.ceil(F.col("n") / cell).alias("g")
+    early = keyed.where(F.col("band") < FIRST)
+    buckets = early.groupBy("key").agg(*count).where("n > 1").select("key", "lead", g)
+    blocks = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).otherwise(F.array(block))
+    members = early.join(buckets, "key").select("key", "node", F.col("node").alias("root"), F.explode(blocks).alias("cell"))
+    links = checkpoint(_links(members, texts, shingle, threshold, total))
+    roots = checkpoint(components(links))
+
+    rooted = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("key").agg(*count, F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1 and low != high").select("key", g)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda x: F.least(x, block) * F.col("g") + F.greatest(x, block))
+    members = rooted.join(apart, "key").select("key", "node", "root", F.explode(every).alias("cell"))
+    more = checkpoint(_links(members, texts, shingle, threshold, total))
+    groups = checkpoint(components(links.unionByName(more)))
+
+    folded = copies.join(groups.withColumnsRenamed({"node": "rep", "root": "r"}), "rep", "left").select("node", "rep", F.coalesce("r", "rep").alias("root"))
+    whole = groups.unionByName(folded.select("node", "root")).unionByName(folded.where("root = rep").select(F.col("rep").alias("node"), "root")).distinct()
+    found = checkpoint(slim.select("node", "id").join(whole, "node"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    stays = found.groupBy("root").agg(F.min(order).alias("stay"))
+    return found.join(stays, "root").select(F.col("id").alias("doc_id"), F.col("stay.id").alias("keep_doc_id"), (F.col("node") == F.col("stay.node")).alias("keep"), F.col("node").alias(OWN + "node"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

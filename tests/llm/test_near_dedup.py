@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from loomgraph.llm.common import word_hashes
-from loomgraph.llm.near_dedup import RARE, SHINGLE, THRESHOLD, components, drop_near_copies, frequencies, near_groups, op9_minhash_near_dedup, samples, shingles, signatures, similarity, weights
+from loomgraph.llm.near_dedup import SHINGLE, THRESHOLD, components, connect, drop_near_copies, near_groups, op9_minhash_near_dedup, samples, shingles, signatures, similarity
 from loomgraph.llm.lm_score import _unpack
 
 from .helpers import CLASHING, SCHEMA, frame, rows, words
@@ -19,7 +19,7 @@ def brute(texts):
         sets.append(Counter(tuple(h[i : i + SHINGLE]) for i in range(max(1, len(h) - SHINGLE + 1))) if h else Counter())
     df = Counter(s for x in sets for s in x)
     n = sum(t is not None for t in texts)
-    idf = {s: max(np.log(n / c), 0.01) if c > RARE * n else np.log(1 / RARE) for s, c in df.items()}
+    idf = {s: max(np.log(n / c), 0.01) for s, c in df.items()}
     parent = list(range(len(texts)))
 
     def find(i):
@@ -68,14 +68,6 @@ def test_groups_against_brute_force(spark):
     assert drop_near_copies(df).columns == df.columns
 
 
-def test_frequencies_are_exact(spark):
-    texts = ["a b c", "a b d", "a b", None, "c d", ""] * 5 + ["u v"]
-    keys, idf = frequencies(frame(spark, texts).repartition(3), 2, 0.2)
-    count = Counter(g for t in texts if t for g in set(shingles(pa.array([t]), 2)[1].tolist()))
-    n = sum(t is not None for t in texts)
-    assert dict(zip(keys.tolist(), np.round(idf, 9))) == {g: round(float(np.log(n / c)), 9) for g, c in count.items() if c > 0.2 * n}
-
-
 def test_samples_collide_with_the_similarity():
     rng = np.random.default_rng(0)
     for overlap in (40, 80):
@@ -106,11 +98,6 @@ def test_nulls_empty_ties_repeats_and_long_texts(spark):
     assert near_groups(empty).count() == 0 and drop_near_copies(empty).count() == 0
 
 
-def test_weights_of_known_and_rare():
-    g = np.array([1, 5, 9], dtype=np.uint64)
-    assert weights(g, np.array([1, 2, 3]), (np.array([5], dtype=np.uint64), np.array([0.5])), 0.01).tolist() == [np.log(100), 1.0, 3 * np.log(100)]
-
-
 def test_query_against_whole_table(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     want, _ = brute([t for _, t in docs])
@@ -141,3 +128,41 @@ def test_passages_of_few_documents_weigh_less_than_unique_text(spark):
     shared, own = 84 * np.log(n / 3), 16 * np.log(n)
     assert shared / (shared + 2 * own) < THRESHOLD < 84 / (84 + 2 * 16)
     assert rows(near_groups(frame(spark, texts)), "doc_id", "keep_doc_id") == [(24, 24), (25, 24)]
+
+
+def test_connect_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        vectors = []
+        for _ in range(12):
+            keep = np.flatnonzero(rng.random(30) < rng.choice((0.5, 0.9)))
+            vectors.append((keep.astype(np.uint64), np.ones(len(keep)) + (keep % 3)))
+        roots = rng.integers(0, 9, 12).tolist()
+        parent = list(range(12))
+        for i in range(12):
+            for j in range(i):
+                if roots[i] == roots[j] or similarity(*vectors[i], *vectors[j]) >= 0.7:
+                    parent = [parent[j] if p == parent[i] else p for p in parent]
+        got = list(range(12))
+        for i in range(12):
+            for j in range(i):
+                if roots[i] == roots[j]:
+                    got = [got[j] if p == got[i] else p for p in got]
+        for a, b in connect(vectors, roots, 0.7):
+            assert got[a] != got[b]
+            got = [got[a] if p == got[b] else p for p in got]
+        same = lambda x: [[p == q for q in x] for p in x]
+        assert same(got) == same(parent)
+
+
+def test_large_buckets_are_divided_without_loss(spark):
+    """Cells of three documents: buckets of many blocks, of which some have several groups."""
+    rng = random.Random(12)
+    texts = corpus(rng, 60)
+    shared = words(rng, 60, 5000)
+    texts += [" ".join(shared + words(rng, 4, 5000)) for _ in range(40)] + [texts[3]] * 15
+    df = frame(spark, texts)
+    columns = ("doc_id", "keep_doc_id", "keep")
+    assert rows(near_groups(df, cell=3), *columns) == rows(near_groups(df), *columns)
+    df = frame(spark, [" ".join(f"c{i}" for i in range(80)) + f" own{k % 7} {k}" for k in range(50)] + ["x " * 5] * 4 + [f"f{i} g{i} h{i}" for i in range(250)])
+    assert rows(near_groups(df, cell=2), *columns) == sorted([(k, 0, k == 0) for k in range(50)] + [(k, 50, k == 50) for k in range(50, 54)], key=repr)
