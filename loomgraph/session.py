@@ -3,7 +3,10 @@ shared folder for reliable checkpoints."""
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -42,12 +45,26 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where the session names none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
+    """Sets a checkpoint folder only where the session names none, which is for a single machine."""
+    if spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files, and where it is set to the checkpoints, of results that nothing refers to any
+    more, which it notices only when the driver's memory is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
