@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, ship_package  # noqa: F401
+from ..session import checkpoint, release, ship_package  # noqa: F401
 
 WORD_PATTERN = "[0-9A-Za-zÀ-῿⁰-⿿぀-\U0010ffff]+"
 WORD_RE = re.compile(WORD_PATTERN)

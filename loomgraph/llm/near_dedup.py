@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, batches, checkpoint, documents, map_arrow, mix, partitions, row_grams, ship_package, word_hashes
+from .common import OWN, batches, checkpoint, documents, map_arrow, mix, partitions, release, row_grams, ship_package, word_hashes
 from .lm_score import CHUNK_BYTES, RANGE_BYTES, _decode, _encode, _pack, _unpack
 
 SHINGLE = 2
@@ -293,27 +293,28 @@ def near_groups(
     slim = docs.select(_node(id_col, text_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     total, size = docs.agg(F.count(F.col(text_col)), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).head()
     signed = checkpoint(signatures(slim.select("node", "text"), total, size, shingle, bands, rows, chunk_bytes))
+    release(docs.sparkSession)
     # rows of one text: its hash and a band key of its own are the same
     twins = checkpoint(slim.select("node", F.xxhash64("text").alias("twin")).join(signed.select("node", F.col("keys")[0].alias("k0")), "node").distinct())
     several = twins.groupBy("twin", "k0").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = checkpoint(twins.join(several, ["twin", "k0"]).where("node != rep").select("node", "rep"))
     alone = signed.join(copies.select("node"), "node", "left_anti")
-    texts = slim.select("node", "text").dropDuplicates(["node"]) if twins.count() < signed.count() else slim.select("node", "text")
-    texts = texts.join(alone.select("node", "df").dropDuplicates(["node"]), "node")
     keyed = alone.select("node", F.posexplode("keys").alias("band", "key")).distinct()
+    # only what shares a bucket is of interest, and only its texts move again
+    count = [F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")]
+    shared = checkpoint(keyed.join(keyed.groupBy("key").agg(*count).where("n > 1"), "key"))
+    texts = checkpoint(slim.select("node", "text").join(alone.select("node", "df").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"))
+    release(docs.sparkSession)
 
     block = F.pmod(F.xxhash64("node", "key"), F.col("g"))
-    count = [F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")]
     g = F.ceil(F.col("n") / cell).alias("g")
-    early = keyed.where(F.col("band") < FIRST)
-    buckets = early.groupBy("key").agg(*count).where("n > 1").select("key", "lead", g)
     blocks = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).otherwise(F.array(block))
-    members = early.join(buckets, "key").select("key", "node", F.col("node").alias("root"), F.explode(blocks).alias("cell"))
+    members = shared.where(F.col("band") < FIRST).select("key", "node", "lead", g).select("key", "node", F.col("node").alias("root"), F.explode(blocks).alias("cell"))
     links = checkpoint(_links(members, texts, shingle, threshold, total))
     roots = checkpoint(components(links))
 
-    rooted = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("key").agg(*count, F.min("root").alias("low"), F.max("root").alias("high")).where("n > 1 and low != high").select("key", g)
+    rooted = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("key").agg(count[0], F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", g)
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda x: F.least(x, block) * F.col("g") + F.greatest(x, block))
     members = rooted.join(apart, "key").select("key", "node", "root", F.explode(every).alias("cell"))
     more = checkpoint(_links(members, texts, shingle, threshold, total))
