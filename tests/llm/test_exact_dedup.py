@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from loomgraph.llm.exact_dedup import drop_exact_copies, exact_dedup, op4_exact_dedup
+from pyspark.sql import functions as F
+
+from loomgraph.llm.exact_dedup import NAME, drop_exact_copies, exact_dedup, identities, op4_exact_dedup
 
 from .helpers import CLASHING, SCHEMA, frame, rows
 
@@ -63,3 +65,22 @@ def test_query_against_whole_table(spark, sf_dir):
     keep = brute([(r.doc_id, r.text) for r in docs.collect()])
     text = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.keep_doc_id == keep[text[r.doc_id]] for r in got) and len(got) == len(text)
+
+
+def test_blocks_of_one_hash_are_told_apart(spark):
+    """Three hashes for all blocks: nearly all of them collide."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 30))) for _ in range(25)] + ["same"]
+    pairs = [(i, rng.choice(base)) for i in range(80)]
+    found = identities(frame(spark, pairs), block=4, block_hash=lambda c: F.pmod(F.xxhash64(c), F.lit(3)).cast("long"))
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r[NAME]].add(dict(pairs)[r["__lg_id"]])
+    assert all(len(texts) == 1 for texts in got.values()) and len(got) == len({t for _, t in pairs})
+
+
+def test_of_rows_with_one_id_and_text_the_same_stays_each_time(spark):
+    df = frame(spark, [(7, "twice")] * 12 + [(8, "once")]).selectExpr("doc_id", "text", "cast(spark_partition_id() * 0 + rand(3) * 1e6 as long) extra").cache()
+    one = rows(drop_exact_copies(df.repartition(1)), "doc_id", "text", "extra")
+    assert len(one) == 2 and one == rows(drop_exact_copies(df.repartition(5)), "doc_id", "text", "extra")
+    df.unpersist()
