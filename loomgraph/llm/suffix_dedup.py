@@ -8,22 +8,23 @@ occurs at least twice in the corpus (in one document or in several).
    on the words alone, so all occurrences of a repeated passage have a suffix at the same place,
    in its first `window` words.
 2. Only suffixes whose first min_words - window + 1 words recur can be part of a repeat; the hashes of
-   these are grouped, and the others dropped, before any text moves.
-3. A suffix is written as the codes of its words, up to min_words of them, and of the window - 1 words
-   before it.  Sampled splitters on the leading words range-partition them.  A
+   these are counted, with partial sums before the shuffle, and the others dropped, before any text moves.
+3. A suffix is written as a record: the codes of its words, up to min_words of them, and of the window - 1 words
+   before it.  Equal records are folded, with their number, before they are shuffled, so a passage that a
+   million documents share is one record a task.  Sampled splitters on the leading words range-partition the records.  A
    splitter never divides suffixes with equal leading words, so that neighbours which share
    enough words to matter are never on two sides of a boundary.
 4. Each bucket is sorted by a multikey quicksort (ternary splits on one word at a time, all groups of a
-   depth at once), which gives the longest common prefixes with it.  In runs of suffixes with a
-   common prefix long enough the windows that hold the suffix are compared.
-5. The repeated windows of a document are joined into maximal spans.
-
-Within a partition's slice equal suffixes of one document (as in a run of one repeated word) travel as
-one record with their positions.
-
-Defined results: null and empty texts and texts of fewer than min_words words have no row.  A
-repeated row is an occurrence of its own: both rows' document is covered in full.  Spans are in words
-of the document, `finish` is exclusive.  Words are compared by 31-bit codes, windows by 64-bit ones.
+   depth at once) by what follows, and once more by what precedes, read backwards.  The longest common prefixes of
+   neighbours in the two orders decide: the window that begins d words before a suffix is repeated if and only if another
+   record is in the same run of common prefixes of min_words - d words in the one order and of d words in the other.
+5. Records of repeated windows are joined to the places in the documents that have them, and a document's windows become
+   maximal spans.
+
+Defined results: null and empty texts, texts of fewer than min_words words and empty tables have no row.  A
+repeated row is an occurrence of its own: both rows' document is covered in full.  Ties between equal suffixes need no order.  Texts
+are read whole, whatever their length; extra columns, whatever their names, are ignored.  Spans are in words
+of the document, `finish` is exclusive.  Words are compared by 31-bit codes, records and documents are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, documents, map_arrow, mix, partitions, row_grams, rows_of, window_hashes, word_hashes
+from .common import WORD_PATTERN, batches, checkpoint, documents, map_arrow, mix, partitions, release, row_grams, rows_of, window_hashes, word_hashes
 
 MIN_WORDS = 50
 WINDOW = 24
 ORDER_WORDS = 3
 LEADING = 8
+FOLD_ROWS = 60_000
 _U64 = np.uint64
 
 
@@ -97,39 +99,63 @@ def repeated(words: np.ndarray, copies: np.ndarray, min_words: int, window: int)
     """Which suffix records of a bucket lie in repeated windows: record, and least and largest
     number of words by which such a window starts before the suffix.  Columns of words: min_words
     from the suffix on, then the window - 1 words before it; 0 is no word."""
-    right, left = words[:, :min_words], words[:, min_words:]
-    order, lcp = multikey_sort(right)
+    order, lcp = multikey_sort(words[:, :min_words])
     near = np.append(lcp >= min_words - window + 1, False)
     near[0] = False
-    lonely = ~(near[:-1] | near[1:])
-    keep = order[~lonely | (copies[order] > 1)]
-    text = np.concatenate([left[keep], right[keep]], axis=1).astype(_U64)
+    keep = np.zeros(len(words), dtype=bool)
+    keep[order] = near[:-1] | near[1:]
+    keep |= copies > 1
+    order, lcp = order[keep[order]], _least_of_runs(lcp, keep[order])
+    place = np.cumsum(keep) - 1  # of the kept records
+    order, keep = place[order], np.flatnonzero(keep)
+    before = words[keep][:, min_words:][:, ::-1]
+    back, back_lcp = multikey_sort(before)
+    follow, precede = (words[keep][:, :min_words] != 0).sum(axis=1), (before != 0).sum(axis=1)
     least, most = np.full(len(keep), window), np.full(len(keep), -1)
-    with np.errstate(over="ignore"):
-        base = np.cumprod(np.full(text.shape[1], 0x9E3779B97F4A7C15, dtype=_U64))
-        back = np.cumprod(np.full(text.shape[1], pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=_U64))
-        total = np.concatenate([np.zeros((len(keep), 1), dtype=_U64), np.cumsum(mix(text) * base[None, :], axis=1)], axis=1)
-        gaps = np.concatenate([np.zeros((len(keep), 1), dtype=np.int64), np.cumsum(text == 0, axis=1)], axis=1)
-        for d in range(window):
-            a = window - 1 - d
-            whole = gaps[:, a + min_words] == gaps[:, a]
-            prints = mix((total[:, a + min_words] - total[:, a]) * back[a])
-            some = np.flatnonzero(whole)
-            _, back_to, count = np.unique(prints[some], return_inverse=True, return_counts=True)
-            number = np.bincount(back_to, weights=copies[keep[some]], minlength=len(count))
-            hit = some[number[back_to] > 1]
-            least[hit], most[hit] = np.minimum(least[hit], d), d
+    run, back_run = np.empty(len(keep), dtype=np.int64), np.empty(len(keep), dtype=np.int64)
+    for d in range(window):
+        run[order] = np.cumsum(lcp < min_words - d)
+        back_run[back] = np.cumsum(back_lcp < d)
+        some = np.flatnonzero((follow >= min_words - d) & (precede >= d))
+        _, which = np.unique(run[some] * (len(keep) + 1) + back_run[some], return_inverse=True)
+        number = np.bincount(which, weights=copies[keep[some]])
+        hit = some[number[which] > 1] if len(some) else some
+        least[hit], most[hit] = np.minimum(least[hit], d), d
     found = most >= 0
     return keep[found], least[found], most[found]
 
 
+def _least_of_runs(lcp: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Common prefixes of kept neighbours: the least of those between them."""
+    at = np.flatnonzero(keep)
+    if not len(at):
+        return lcp[:0]
+    low = np.minimum.reduceat(lcp, np.append(0, at[:-1] + 1))
+    low[0] = 0
+    return low
+
+
+def _prints(words: np.ndarray) -> np.ndarray:
+    return mix(np.bitwise_xor.reduce(mix(words.astype(_U64) + (np.arange(words.shape[1], dtype=_U64) << _U64(32))[None, :]), axis=1))
+
+
+def _folded(words: list[np.ndarray], copies: list[np.ndarray]) -> pa.RecordBatch:
+    """Different records with their numbers."""
+    w, c = np.concatenate(words), np.concatenate(copies)
+    _, first, which = np.unique(_prints(w), return_index=True, return_inverse=True)
+    w, n = w[first], np.bincount(which, weights=c).astype(np.int64)
+    bounds = (np.arange(len(w) + 1) * w.shape[1] * 4).astype(np.int32)
+    payload = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(w.astype(">u4").tobytes())])
+    return pa.RecordBatch.from_arrays([payload, pa.array(n)], names=["words", "copies"])
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, finish): maximal spans of words of repeated windows."""
     if not 1 <= window <= min_words - ORDER_WORDS - LEADING:
         raise ValueError("window must be smaller than min_words by the words of the order and of the leading key")
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= min_words)
-    sure = min_words - window + 1
+    sure, width = min_words - window + 1, min_words + window - 1
 
     def seeds(it):
         for b in it:
@@ -142,9 +168,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(r)), pa.array(window_hashes(h, p, sure).view(np.int64)), pa.array((p - o[r]).astype(np.int32))], names=["node", "seed", "pos"])
 
     found = map_arrow(slim.select("node", "text"), seeds, "node long, seed long, pos int")
-    recurring = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("n > 1").groupBy("node").agg(F.collect_set("pos").alias("pos"))
+    several = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    recurring = checkpoint(found.join(several, "seed").groupBy("node").agg(F.collect_set("pos").alias("pos")))
+    release(docs.sparkSession)
 
-    def records(it):
+    def chosen(it):
+        """Slices with the records of their chosen suffixes: batch, row, position in the row, words."""
         for b in it:
             for s in batches([b]):
                 h, o = word_hashes(s.column(2))
@@ -157,39 +186,45 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     pp, rr = p[lo : lo + 20_000], row[lo : lo + 20_000]
                     at = pp[:, None] + column
                     ok = (at >= o[rr][:, None]) & (at < o[rr + 1][:, None])
-                    words = np.where(ok, codes[np.clip(at, 0, len(codes) - 1)], np.uint32(0))
-                    prints = mix(np.bitwise_xor.reduce(mix(words.astype(_U64) + (np.arange(words.shape[1], dtype=_U64) << _U64(32))[None, :]), axis=1) + rr.astype(_U64))
-                    _, first, which = np.unique(prints, return_index=True, return_inverse=True)
-                    by = np.argsort(which, kind="stable")
-                    ends = np.append(0, np.cumsum(np.bincount(which))).astype(np.int32)
-                    raw = words[first].astype(">u4").tobytes()
-                    size = words.shape[1] * 4
-                    bounds = (np.arange(len(first) + 1) * size).astype(np.int32)
-                    payload = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw)])
-                    local = pa.array((pp - o[rr])[by].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(rr[first])), s.column(1).take(pa.array(rr[first])), payload, pa.ListArray.from_arrays(pa.array(ends), local)], names=["node", "id", "words", "pos"])
-
-    suffix = map_arrow(slim.join(recurring, "node").select("node", "id", "text", "pos"), records, f"node long, id {id_type}, words binary, pos array<int>")
-    bucketed = suffix.repartitionByRange(partitions(docs), F.substring(F.col("words"), 1, LEADING * 4))
+                    yield s, rr, pp - o[rr], np.where(ok, codes[np.clip(at, 0, len(codes) - 1)], np.uint32(0))
+
+    def records(it):
+        held, size = [], 0
+        for _, _, _, words in chosen(it):
+            held.append(words)
+            size += len(words)
+            if size > FOLD_ROWS:
+                yield _folded(held, [np.ones(size, dtype=np.int64)])
+                held, size = [], 0
+        if size:
+            yield _folded(held, [np.ones(size, dtype=np.int64)])
+
+    def places(it):
+        for s, rr, pos, words in chosen(it):
+            prints = _prints(words)
+            by = np.lexsort((prints, rr))
+            rr, pos, prints = rr[by], pos[by], prints[by]
+            fresh = np.append(True, (rr[1:] != rr[:-1]) | (prints[1:] != prints[:-1]))
+            first = np.flatnonzero(fresh)
+            ends = np.append(first, len(rr)).astype(np.int32)
+            take = pa.array(rr[first])
+            yield pa.RecordBatch.from_arrays([s.column(0).take(take), s.column(1).take(take), pa.array(prints[first].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))], names=["node", "id", "record", "pos"])
 
     def compare(it):
         parts = [b for b in it if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts).combine_chunks()
-        width = (min_words + window - 1) * 4
-        words = np.frombuffer(b"".join(t.column("words").to_pylist()), dtype=">u4").reshape(-1, width // 4).astype(np.uint32)
-        pos = t.column("pos").combine_chunks()
-        ends = pos.offsets.to_numpy().astype(np.int64)
-        record, least, most = repeated(words, np.diff(ends), min_words, window)
-        number = np.diff(ends)[record]
-        each = np.repeat(np.arange(len(record)), number)
-        place = pos.values.to_numpy()[np.repeat(ends[record], number) + np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)].astype(np.int64)
-        take = pa.array(record[each])
-        columns = [t.column(c).combine_chunks().take(take) for c in ("node", "id")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(place - most[each]), pa.array(place - least[each] + min_words)], names=["node", "doc_id", "start", "finish"])
-
-    spans = map_arrow(bucketed, compare, f"node long, doc_id {id_type}, start long, finish long")
+        words = np.frombuffer(b"".join(t.column("words").to_pylist()), dtype=">u4").reshape(-1, width).astype(np.uint32)
+        record, least, most = repeated(words, t.column("copies").to_numpy(), min_words, window)
+        out = pa.table({"record": pa.array(_prints(words[record]).view(np.int64)), "least": pa.array(least), "most": pa.array(most)})
+        yield from out.group_by("record").aggregate([("least", "min"), ("most", "max")]).rename_columns(["record", "least", "most"]).combine_chunks().to_batches()
+
+    chosen_of = slim.join(recurring, "node").select("node", "id", "text", "pos")
+    bucketed = map_arrow(chosen_of, records, "words binary, copies long").repartitionByRange(partitions(docs), F.substring(F.col("words"), 1, LEADING * 4))
+    verdict = map_arrow(bucketed, compare, "record long, least long, most long")
+    at = map_arrow(chosen_of, places, f"node long, id {id_type}, record long, pos array<int>").join(verdict, "record").select("node", "id", F.explode("pos").alias("pos"), "least", "most")
+    spans = at.select("node", F.col("id").alias("doc_id"), (F.col("pos") - F.col("most")).alias("start"), (F.col("pos") - F.col("least") + min_words).alias("finish"))
     w = Window.partitionBy("node").orderBy("start", "finish")
     reach = F.max("finish").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = spans.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1))
@@ -201,4 +236,18 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir))
 
 
-ORACLE_SQL = None
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_PATTERN}') AS w FROM documents
+), p AS (
+  SELECT r, doc_id, unnest(list_transform(range(1, len(w) - {MIN_WORDS - 2}), i -> array_to_string(list_slice(w, i, i + {MIN_WORDS - 1}), ' '))) AS k, unnest(range(len(w) - {MIN_WORDS - 1})) AS s
+  FROM d WHERE len(w) >= {MIN_WORDS}
+), hit AS (
+  SELECT r, doc_id, s FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)
+), step AS (
+  SELECT r, doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= {MIN_WORDS} THEN 0 ELSE 1 END AS fresh FROM hit
+), island AS (
+  SELECT r, doc_id, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS i FROM step
+)
+SELECT doc_id, min(s) AS start, max(s) + {MIN_WORDS} AS finish FROM island GROUP BY r, doc_id, i
+"""

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from loomgraph.llm.common import WORD_RE
-from loomgraph.llm.suffix_dedup import multikey_sort, op6_suffix_array_dedup, repeated_spans
+from loomgraph.llm.suffix_dedup import multikey_sort, repeated, op6_suffix_array_dedup, repeated_spans
 
 from .helpers import CLASHING, SCHEMA, frame, words
 
@@ -87,3 +87,39 @@ def test_query_against_whole_table(spark, sf_dir):
     pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = brute(pairs, 50)
     assert want and {tuple(r) for r in op6_suffix_array_dedup(spark, sf_dir).collect()} == want
+
+
+def test_the_two_orders_decide_as_all_windows_do():
+    rng = np.random.default_rng(5)
+    n, window, some = 9, 4, 0
+    for _ in range(200):
+        words_ = rng.integers(1, 3, (25, n + window - 1)).astype(np.uint32)
+        for row in words_:  # texts that end, and texts that begin
+            row[n - rng.integers(0, n) : n] = 0
+            row[n : n + rng.integers(0, window)] = 0
+        copies = rng.integers(1, 3, 25)
+        copies[rng.random(25) < 0.8] = 1
+        count = Counter()
+        texts = [tuple(r[n:]) + tuple(r[:n]) for r in words_.tolist()]
+        for t, c in zip(texts, copies.tolist()):
+            for d in range(window):
+                count[d, t[window - 1 - d :][:n]] += c
+        want = {}
+        for i, t in enumerate(texts):
+            ds = [d for d in range(window) if 0 not in (x := t[window - 1 - d :][:n]) and count[d, x] > 1]
+            if ds:
+                want[i] = (ds[0], ds[-1])
+        record, least, most = repeated(words_, copies, n, window)
+        assert {i: (a, b) for i, a, b in zip(record.tolist(), least.tolist(), most.tolist())} == want
+        some += len(want)
+    assert some > 100
+
+
+def test_records_are_folded_and_tasks_agree(spark):
+    rng = random.Random(8)
+    passage, other = words(rng, 40, 10**6), words(rng, 30, 10**6)
+    pairs = [(i, " ".join(words(rng, i % 9, 10**6) + passage + words(rng, i % 5, 10**6))) for i in range(150)] + [(200 + i, " ".join(other[i:])) for i in range(9)]
+    want = brute(pairs, 20)
+    for parts in (1, 7):
+        got = [tuple(r) for r in repeated_spans(frame(spark, pairs).repartition(parts), min_words=20, window=6).collect()]
+        assert set(got) == want and len(got) == len(want)
