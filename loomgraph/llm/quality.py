@@ -4,22 +4,28 @@
    of the text and the presence of words and beginnings of words that tell the classes apart
    (chi-square on the sample).
    The sample is bounded by `max_labelled` rows, the labels with the smallest hash of their row;
-   the bound keeps the fit on one machine and doesn't depend on the corpus.
-2. The evidence of every document of the corpus is summed by (host, path).  Hosts are shrunk
-   towards the global prior and paths towards their host.  The strength of either prior is
-   estimated from the spread between sites (method of moments on grouped sums).
+   the bound keeps the fit on one machine and doesn't depend on the corpus.  The model has at most `max_words` features for a
+   target, those of the highest chi-square, of at least `min_chi2` and in at least `min_df` of the sample's documents; these
+   are the size of the model and not a bound on what is read.
+2. The evidence of every document of the corpus is summed by site, a host and the whole path.  Sites form a hierarchy: host,
+   host/a, host/a/b and so on, as deep as a path goes; a level's sums hold those below.  Hosts are shrunk towards the global
+   prior and each further level towards the one above.  The strength of a level's prior is
+   estimated from the spread of its means about those above (method of moments on grouped sums).
 3. A document's log-odds are those of its own evidence, moved from the global prior to the
-   posterior of its path.  It is kept if it is more likely of quality than not and more likely
-   not toxic than toxic.
+   posterior of its site, from which its own evidence is taken out at every level, so that it doesn't count twice.  It is kept if
+   it is more likely of quality than not and more likely not toxic than toxic.
 
 Evidence is computed twice instead of carrying texts through a shuffle: once for the sums, once
-for the decision.  The posteriors are one row a path; they are broadcast only if they are
+for the decision.  The posteriors are one row a site; they are broadcast only if they are
 few (`broadcast_paths`), else joined.
 
 Defined results: a null or empty text is scored as a text without words; a null source is a site
-of its own.  Labels with a null doc_id are not used, a null label isn't used for its target; a
+of its own; hosts are compared in lower case, query and fragment of an address are no part of its path, nor are empty segments.
+Labels with a null doc_id are not used, a null label isn't used for its target; a
 document with several labels counts once for each.  Without labels of both classes of a target,
-that target decides nothing.  Repeated rows are decided alike.  All columns are kept.
+that target decides nothing.  Repeated rows are decided alike, and each is evidence for the others' site.  Texts are read whole,
+whatever their length.  No rows in, no rows out.  All columns, whatever their names, are kept.  Levels of a path are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -134,7 +140,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS, min_chi2: float = MIN_CHI2, min_df: int = MIN_DF) -> dict:
     """The model: for each target None or (mean, scale, word hashes, weights)."""
     own = OWN + "label_id"
     drawn = (
@@ -157,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n0, n1, a, b = float(total[f"{t}_0"]), float(total[f"{t}_1"]), F.col(f"{t}_1"), F.col(f"{t}_0")
         df = a + b
         chi2 = (n0 + n1) * (a * n0 - b * n1) ** 2 / (n1 * n0 * df * (n0 + n1 - df))
-        best = counts.where((df >= MIN_DF) & (df < n0 + n1)).withColumn("chi2", chi2).where(F.col("chi2") > MIN_CHI2).orderBy(F.desc("chi2"), "feature").limit(MAX_WORDS)
+        best = counts.where((df >= min_df) & (df < n0 + n1)).withColumn("chi2", chi2).where(F.col("chi2") > min_chi2).orderBy(F.desc("chi2"), "feature").limit(max_words)
         chosen[t] = np.sort(np.array([r[0] for r in best.select("feature").collect()], dtype=np.int64).view(np.uint64))
     features = np.unique(np.concatenate([*chosen.values()]))
     got = map_arrow(rows, _measured(features), "quality double, toxic double, stats array<double>, have array<int>").toArrow()
@@ -213,35 +219,41 @@ def _strength(n, s1, s2, s, k, square, between):
     return F.least(F.greatest(mean * (1 - mean) / spread - 1, F.lit(1.0)), F.lit(1e6))
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, quality, toxic, quality_prior, toxic_prior) from (host, path, quality, toxic)."""
+def sites(scored: DataFrame) -> DataFrame:
+    """(host, path, chain, quality_prior, toxic_prior) from (host, path, quality, toxic), a row a site; the chain
+    has for the host and each level of the path: level, n, the sums and the strengths of the priors."""
     n = F.count(F.lit(1)).cast("double")
     aggregates = [n.alias("n")]
     for t in TARGETS:
         aggregates += [F.sum(t).alias(f"{t}_1"), F.sum(F.col(t) * F.col(t)).alias(f"{t}_2")]
-    paths = checkpoint(scored.groupBy("host", "path").agg(*aggregates))
-    sums = [F.sum(c).alias(c) for c in paths.columns if c not in ("host", "path")]
-    hosts = paths.groupBy("host").agg(*sums)
-    per_host = [F.sum(c).alias("g_" + c) for c in hosts.columns if c != "host"] + [F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("n") * F.col("n")).alias("square")]
-    total = hosts.agg(*per_host, *(F.sum(F.col(f"{t}_1") ** 2 / F.col("n")).alias(f"s_{t}") for t in TARGETS))
-    joined = hosts.crossJoin(F.broadcast(total))  # one row
-    for t in TARGETS:
-        g, mean = F.col(f"g_{t}_1"), F.col(f"g_{t}_1") / F.col("g_n")
-        kappa = _strength(F.col("g_n"), g, F.col(f"g_{t}_2"), F.col(f"s_{t}"), F.col("k"), F.col("square"), F.col(f"s_{t}") - F.col("g_n") * mean**2)
-        joined = joined.withColumn(f"host_{t}", (F.col(f"{t}_1") + kappa * mean) / (F.col("n") + kappa)).withColumn(f"{t}_prior", mean)
-    hosts = joined.select("host", *(f"host_{t}" for t in TARGETS), *(f"{t}_prior" for t in TARGETS))
-    both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    level = both.agg(
+    own = checkpoint(scored.groupBy("host", "path").agg(*aggregates))
+    numbers = [c for c in own.columns if c not in ("host", "path")]
+    segments = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda x: x != "")
+    keys = F.aggregate(segments, F.array(F.xxhash64("host")), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
+    levels = own.select("*", keys.alias("keys")).select("host", "path", *numbers, F.posexplode("keys").alias("level", "key"), "keys")
+    levels = levels.select("host", "path", *numbers, "level", "key", F.when(F.col("level") > 0, F.col("keys")[F.col("level") - 1]).alias("above"))
+    sums = [F.sum(c).alias(c) for c in numbers]
+    nodes = checkpoint(levels.groupBy("level", "key", "above").agg(*sums))
+    total = own.agg(*(F.sum(c).alias("g_" + c) for c in numbers))
+    means = nodes.select((F.col("level") + 1).alias("level"), F.col("key").alias("above"), *((F.col(f"{t}_1") / F.col("n")).alias(f"{t}_above") for t in TARGETS))
+    joined = nodes.join(means, ["level", "above"], "left").crossJoin(F.broadcast(total))  # one row
+    square = lambda t: F.col("n") * (F.col(f"{t}_1") / F.col("n") - F.coalesce(f"{t}_above", F.col(f"g_{t}_1") / F.col("g_n"))) ** 2
+    stats = joined.groupBy("level").agg(
         F.sum("n").alias("g_n"), F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.col("n") * F.col("n")).alias("square"),
         *(F.sum(f"{t}_1").alias(f"g_{t}_1") for t in TARGETS), *(F.sum(f"{t}_2").alias(f"g_{t}_2") for t in TARGETS),
-        *(F.sum(F.col(f"{t}_1") ** 2 / F.col("n")).alias(f"s_{t}") for t in TARGETS),
-        *(F.sum(F.col("n") * (F.col(f"{t}_1") / F.col("n") - F.col(f"host_{t}")) ** 2).alias(f"b_{t}") for t in TARGETS),
+        *(F.sum(F.col(f"{t}_1") ** 2 / F.col("n")).alias(f"s_{t}") for t in TARGETS), *(F.sum(square(t)).alias(f"b_{t}") for t in TARGETS),
     )
-    out = both.crossJoin(F.broadcast(level))
-    for t in TARGETS:
-        kappa = _strength(F.col("g_n"), F.col(f"g_{t}_1"), F.col(f"g_{t}_2"), F.col(f"s_{t}"), F.col("k"), F.col("square"), F.col(f"b_{t}"))
-        out = out.withColumn(t, (F.col(f"{t}_1") + kappa * F.col(f"host_{t}")) / (F.col("n") + kappa))
-    return checkpoint(out.select("host", "path", *TARGETS, *(f"{t}_prior" for t in TARGETS)))
+    strengths = stats.select("level", *(_strength(F.col("g_n"), F.col(f"g_{t}_1"), F.col(f"g_{t}_2"), F.col(f"s_{t}"), F.col("k"), F.col("square"), F.col(f"b_{t}")).alias(f"{t}_k") for t in TARGETS))
+    step = F.struct("level", F.col("nn").alias("n"), *(F.col(f"n_{t}_1").alias(t) for t in TARGETS), *(f"{t}_k" for t in TARGETS))
+    known = nodes.select("level", "key", F.col("n").alias("nn"), *(F.col(f"{t}_1").alias(f"n_{t}_1") for t in TARGETS)).join(strengths, "level")
+    chains = levels.select("host", "path", "level", "key").join(known, ["level", "key"]).groupBy("host", "path").agg(F.sort_array(F.collect_list(step)).alias("chain"))
+    return checkpoint(chains.crossJoin(F.broadcast(total)).select("host", "path", "chain", *((F.col(f"g_{t}_1") / F.col("g_n")).alias(f"{t}_prior") for t in TARGETS)))
+
+
+def posterior(chain, prior, target: str, own=None):
+    """The posterior at the end of a chain, without the evidence `own` of one of its documents."""
+    one, mine = (F.lit(0.0), F.lit(0.0)) if own is None else (F.lit(1.0), own)
+    return F.aggregate(chain, prior, lambda p, x: (x[target] - mine + x[f"{target}_k"] * p) / (x["n"] - one + x[f"{target}_k"]))
 
 
 def _logit(c):
@@ -256,18 +268,20 @@ def classify(
     """The documents with __lg_quality, __lg_toxic (posterior probabilities) and __lg_keep."""
     ship_package(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col, max_labelled)
-    site = F.regexp_replace(F.col(source_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host, path = F.lower(F.substring_index(site, "/", 1)), F.when(site.contains("/"), F.regexp_extract(site, r"^[^/]*/([^/?#]*)", 1)).otherwise(F.when(site.isNotNull(), ""))
+    site = F.regexp_replace(F.regexp_replace(F.col(source_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"(?s)[?#].*$", "")
+    host, path = F.lower(F.substring_index(site, "/", 1)), F.regexp_replace(site, r"^[^/]*/?", "")
     ev = evidence(model)(F.col(text_col).cast("string"))
     scored = docs.select(host.alias("host"), path.alias("path"), ev.alias("e")).select("host", "path", "e.quality", "e.toxic")
-    table = posteriors(scored)
+    table = sites(scored)
     table = table.select(*(F.col(c).alias(f"{OWN}p_{c}") for c in table.columns))
     if table.count() <= broadcast_paths:
         table = F.broadcast(table)
     wide = docs.withColumns({OWN + "host": host, OWN + "path": path, OWN + "e": ev})
     wide = wide.join(table, F.col(OWN + "host").eqNullSafe(F.col(OWN + "p_host")) & F.col(OWN + "path").eqNullSafe(F.col(OWN + "p_path")), "left")
-    z = {t: _logit(F.col(f"{OWN}e.{t}")) + F.coalesce(_logit(F.col(f"{OWN}p_{t}")) - _logit(F.col(f"{OWN}p_{t}_prior")), F.lit(0.0)) for t in TARGETS}
-    p = {t: 1 / (1 + F.exp(-z[t])) for t in TARGETS}
+    own = {t: F.col(f"{OWN}e.{t}") for t in TARGETS}
+    prior = {t: F.col(f"{OWN}p_{t}_prior") for t in TARGETS}
+    moved = {t: _logit(posterior(F.col(OWN + "p_chain"), prior[t], t, own[t])) - _logit(prior[t]) for t in TARGETS}
+    p = {t: 1 / (1 + F.exp(-(_logit(own[t]) + F.coalesce(moved[t], F.lit(0.0))))) for t in TARGETS}
     good = p["quality"] >= 0.5 if model["quality"] else F.lit(True)
     clean = p["toxic"] <= 0.5 if model["toxic"] else F.lit(True)
     return wide.select(*docs.columns, p["quality"].alias(OWN + "quality"), p["toxic"].alias(OWN + "toxic"), (good & clean).alias(OWN + "keep"))

@@ -240,7 +240,7 @@ ORACLE_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_PATTERN}') AS w FROM documents
 ), p AS (
-  SELECT r, doc_id, unnest(list_transform(range(1, len(w) - {MIN_WORDS - 2}), i -> array_to_string(list_slice(w, i, i + {MIN_WORDS - 1}), ' '))) AS k, unnest(range(len(w) - {MIN_WORDS - 1})) AS s
+  SELECT r, doc_id, unnest(list_transform(range(1, len(w) - {MIN_WORDS - 2}), lambda i: array_to_string(list_slice(w, i, i + {MIN_WORDS - 1}), ' '))) AS k, unnest(range(len(w) - {MIN_WORDS - 1})) AS s
   FROM d WHERE len(w) >= {MIN_WORDS}
 ), hit AS (
   SELECT r, doc_id, s FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)
