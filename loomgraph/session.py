@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -66,5 +67,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files, and where it is set to the checkpoints, of results that nothing refers to any
     more, which it notices only when the driver's memory is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # one collection frees what the next one finds unreferenced
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
