@@ -424,8 +424,14 @@ def _links(spark, sf):
     return lookup.resolved(edges(spark, sf)).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
 
 
-def _ranked(nodes, links, personal=None):
-    return graph.pagerank(nodes, links, rounds=PAGERANK_ROUNDS, tolerance=None, personal=personal).withColumn("pagerank", F.round("pagerank", 9))
+def _ranked(nodes, links, personal=None, **options):
+    return graph.pagerank(nodes, links, rounds=PAGERANK_ROUNDS, tolerance=None, personal=personal, **options).withColumn("pagerank", F.round("pagerank", 9))
+
+
+_WEIGHTED_LINKS = "select source_id as src, target_id as dst, sum(confidence)::double as w from edg where target_id is not null group by 1, 2"
+_PERSONAL = """select sym.id, coalesce(w, 0)::double / sum(coalesce(w, 0)) over () as v from sym left join (select id, sum(w) as w from (
+  select 7::bigint as id, 1.0 as w union all select target_id, 0.5 from (select distinct source_id, target_id from edg where source_id = 7 and target_id is not null)
+  union all select source_id, 0.5 from (select distinct source_id, target_id from edg where target_id = 7)) group by 1) p on p.id = sym.id"""
 
 
 @query(_rank_sql(_LINKS, _UNIFORM))
@@ -433,19 +439,36 @@ def g7_pagerank_10(spark, sf):
     return _ranked(symbols(spark, sf), _links(spark, sf))
 
 
-@query(_rank_sql("select source_id as src, target_id as dst, sum(confidence)::double as w from edg where target_id is not null group by 1, 2", _UNIFORM))
+@query(_rank_sql(_WEIGHTED_LINKS, _UNIFORM))
 def g8_pagerank_weighted_10(spark, sf):
     return _ranked(symbols(spark, sf), aggregate.weighted_digraph(edges(spark, sf)))
 
 
-@query(_rank_sql(_LINKS, """select sym.id, coalesce(w, 0)::double / sum(coalesce(w, 0)) over () as v from sym left join (select id, sum(w) as w from (
-  select 7::bigint as id, 1.0 as w union all select target_id, 0.5 from (select distinct source_id, target_id from edg where source_id = 7 and target_id is not null)
-  union all select source_id, 0.5 from (select distinct source_id, target_id from edg where target_id = 7)) group by 1) p on p.id = sym.id"""))
+@query(_rank_sql(_LINKS, _PERSONAL))
 def g9_personalised_10(spark, sf):
     links = _links(spark, sf)
     return _ranked(symbols(spark, sf), links, graph.personal_weights(_seed(spark, sf, 7), links))
 
 
+# the same by joins, which larger graphs take
+
+
+@query(_rank_sql(_LINKS, _UNIFORM))
+def g7_pagerank_10_by_joins(spark, sf):
+    return _ranked(symbols(spark, sf), _links(spark, sf), local_links=0)
+
+
+@query(_rank_sql(_WEIGHTED_LINKS, _UNIFORM))
+def g8_pagerank_weighted_10_by_joins(spark, sf):
+    return _ranked(symbols(spark, sf), aggregate.weighted_digraph(edges(spark, sf)), local_links=0)
+
+
+@query(_rank_sql(_LINKS, _PERSONAL))
+def g9_personalised_10_by_joins(spark, sf):
+    links = _links(spark, sf)
+    return _ranked(symbols(spark, sf), links, graph.personal_weights(_seed(spark, sf, 7), links), local_links=0)
+
+
 # ranking and budget
 
 

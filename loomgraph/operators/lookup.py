@@ -139,8 +139,12 @@ def overlapping(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """For each (file_path, at) the smallest range of the file that holds it; ties to the smallest id."""
-    hit = points.join(ranges, "file_path").where("at between line_start and line_end")
+    """For each (file_path, at) the smallest range of the file that holds it; ties to the smallest id.
+    Points meet only ranges of their own bucket of lines."""
+    width = 128
+    p = points.withColumn("bucket", F.floor(F.col("at") / width))
+    r = ranges.where("line_end >= line_start").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line_start") / width), F.floor(F.col("line_end") / width))))
+    hit = p.join(r, ["file_path", "bucket"]).where("at between line_start and line_end")
     best = F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("id"), F.col("name")))
     return hit.groupBy("file_path", "at").agg(best.alias("b")).select("file_path", "at", F.col("b.id").alias("owner_id"), F.col("b.name").alias("owner"))
 

@@ -81,22 +81,21 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
 
 
 def merge_latest(current: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The latest row of each key."""
+    """The latest row of each key; ties go to the row of the largest hash, so that a batch that is run again keeps the same."""
     both = current.unionByName(batch)
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    tie = F.xxhash64(*(c for c, kind in both.dtypes if "map<" not in kind))
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), tie.desc()))
     return both.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
 
 
 def upsert_stream(stream: DataFrame, folder: str, keys: list[str], order: str, on_update=None):
-    """Starts a query that keeps the latest row of each key in folder/<version>; a version is written
-    whole before `_CURRENT` names it, and a batch that is run again writes its own version again."""
+    """Starts a query that keeps the latest row of each key in folder/v<batch>.  Each version is the whole table, made
+    from the version before; a batch that is run again writes its own version again.  The current one is that of the last batch."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
         previous = f"{folder}/v{number - 1}"
-        merged = batch if number == 0 else merge_latest(spark.read.parquet(previous), batch, keys, order)
-        if number == 0:
-            merged = merge_latest(batch.limit(0), batch, keys, order)
+        merged = merge_latest(spark.read.parquet(previous) if number else batch.limit(0), batch, keys, order)
         merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
         if on_update:
             on_update(batch, number)
