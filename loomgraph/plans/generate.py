@@ -107,6 +107,8 @@ def ranked_nodes(g: Graph, around: str | None = None, depth: int = 2, hot: bool
         symbols = symbols.join(near.select("id"), "id", "left_semi")
         edges = lookup.induced(edges, symbols)
     links = aggregate.weighted_digraph(edges) if weighted else lookup.resolved(edges).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
+    if seed is not None:  # then they are read three times
+        links = checkpoint(links)
     personal = graph.personal_weights(seed, links) if seed is not None else None
     rank = graph.pagerank(symbols, links, personal=personal)
     models = g.data_models.select(F.col("symbol_id").alias("id"), "framework", F.col("fields").alias("model_fields"))
